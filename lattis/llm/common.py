@@ -5,6 +5,7 @@ Words are runs of ``[^\\x20\\x09-\\x0D]``. On UTF-8 bytes these are the runs tha
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -35,6 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a stored() table that is no longer read."""
     sc = df.sparkSession.sparkContext
