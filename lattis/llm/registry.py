@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import minhash, quality, substrings
 
-QUERIES = {"op4_quality_rules": quality.op4_quality_rules}
-ORACLES = {"op4_quality_rules": quality.ORACLE}
+QUERIES = {
+    "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
+}
+ORACLES = {
+    "op3_substring_dedup": substrings.ORACLE,
+    "op4_quality_rules": quality.ORACLE,
+}
