@@ -8,7 +8,8 @@ compared; they are memoised.
 Transducer. A state holds the bytes since the last settled token, and for every live position (one from which a token
 could still grow) the last token that ends there. Reading a byte finds the new last token, drops positions from which no
 token can grow, and emits the tokens that all live positions share. So lookahead is bounded by the longest token. States
-and transitions are built when first met, and the tables are emptied when they reach a fixed size.
+and transitions are built when inputs first need them, one for each input that leaves the known ones; the rest of such an
+input runs undeterminised. The tables are emptied when they reach a fixed size.
 
 Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, which holds back incomplete characters between
 chunks.
@@ -40,7 +41,7 @@ from .common import ids_and_text, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of the tables that are emptied when full.
-MOST_STATES, MOST_PIECES = 100_000, 200_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 80_000, 250_000, 200_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,98 +61,117 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
 
 
 class _State:
-    __slots__ = ("last", "next", "tail")
+    """tail: the bytes since the last settled token. live: for each position of tail from which a token could grow, the chain of
+    tokens that ends there, which begins with the last settled token (None at the start)."""
 
-    def __init__(self, tail: bytes, last: dict[int, tuple]):
-        #: bytes since the last settled token; for each live position in tail its chain of tokens from there back, as (token, earlier)
-        self.tail, self.last, self.next = tail, last, {}
+    __slots__ = ("live", "next", "tail")
 
-
-def _listed(chain_: tuple | None) -> list[int]:
-    out = []
-    while chain_ is not None and chain_[1] is not False:
-        out.append(chain_[0])
-        chain_ = chain_[1]
-    return out[::-1]
+    def __init__(self, tail: bytes, live: tuple):
+        self.tail, self.live, self.next = tail, live, {}
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        self.grows = {b[:k] for b in ranks for k in range(1, len(b))}
-        self._usable: dict[bytes, bool] = {}
+        #: for each usable token and each proper prefix of one: its id or -1, and whether it can grow
+        self.known: dict[bytes, tuple[int, bool]] = {}
+        good = {b: i for b, i in ranks.items() if len(b) < 3 or merged(ranks, b) == [i]}
+        grows = {b[:k] for b in good for k in range(1, len(b))}
+        for b in grows | good.keys():
+            self.known[b] = good.get(b, -1), b in grows
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._words: dict[bytes, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.start = self._state(b"", {0: (None, False)})
+        self.start = self._state(b"", ((0, (None,)),))
 
-    def _state(self, tail: bytes, last: dict[int, tuple]) -> _State:
-        key = (tail, tuple(sorted(last.items())))
+    def _state(self, tail: bytes, live: tuple) -> _State:
+        key = (tail, live)
         if (s := self.states.get(key)) is None:
-            s = self.states[key] = _State(tail, last)
+            s = self.states[key] = _State(tail, live)
         return s
 
-    def usable(self, token: bytes) -> bool:
-        if (u := self._usable.get(token)) is None:
-            u = self._usable[token] = merged(self.ranks, token) == [self.ranks[token]]
-        return u
-
     def stay_apart(self, left: int | None, right: int) -> bool:
-        if left is None:
-            return True
-        if (ok := self._pairs.get((left, right))) is None:
-            if len(self._pairs) >= 4 * MOST_STATES:
+        key = (left, right)
+        if (ok := self._pairs.get(key)) is None:
+            if len(self._pairs) >= MOST_PAIRS:
                 self._pairs.clear()
-            ok = self._pairs[left, right] = merged(self.ranks, self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            ok = self._pairs[key] = left is None or merged(self.ranks, self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return ok
 
     def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The transition of a state on a byte: the new state and the tokens that are certain now."""
-        tail = state.tail + bytes((byte,))
-        here = None
-        for j, earlier in state.last.items():
-            token = self.ranks.get(tail[j:])
-            if token is not None and self.usable(tail[j:]) and self.stay_apart(earlier[0], token):
-                here = (token, earlier)
-                break
+        tail, known = state.tail + bytes((byte,)), self.known
+        here, live = None, []
+        for j, path in state.live:
+            if (got := known.get(tail[j:])) is not None:
+                token, grows = got
+                if here is None and token >= 0 and self.stay_apart(path[-1], token):
+                    here = (*path, token)
+                if grows:
+                    live.append((j, path))
         if here is None:
             raise ValueError("no token ends here: the ranks lack a byte")
-        live = {j: c for j, c in state.last.items() if tail[j:] in self.grows}
-        live[len(tail)] = here
-        # tokens that all live chains share are settled
-        chains = [_listed(c) for c in live.values()]
-        n = min(map(len, chains))
-        while n and any(c[:n] != chains[0][:n] for c in chains):
-            n -= 1
-        sure = tuple(chains[0][:n])
-        if not n:
-            return self._state(tail, live), ()
+        live.append((len(tail), here))
+        # tokens that all live chains share are settled; the first is settled already
+        paths = [x for _, x in live]
+        n, least = 1, min(map(len, paths))
+        while n < least and all(x[n] == here[n] for x in paths):
+            n += 1
+        if n == 1:
+            return self._state(tail, tuple(live)), ()
+        sure = here[1:n]
         shift = sum(len(self.bytes_of[t]) for t in sure)
-
-        def cut(c: list[int]) -> tuple:
-            out: tuple = (sure[-1], False)
-            for t in c[n:]:
-                out = (t, out)
-            return out
-
-        return self._state(tail[shift:], {j - shift: cut(c) for j, c in zip(live, chains, strict=True)}), sure
-
-    def encode(self, data: bytes) -> list[int]:
+        return self._state(tail[shift:], tuple((j - shift, x[n - 1 :]) for j, x in live)), sure
+
+    def _run(self, state: _State, rest: bytes) -> list[int]:
+        """The tokens after those that state has emitted, if the input ends with rest. It does what step() does, without building states."""
+        data, known, pairs, base = state.tail + rest, self.known, self._pairs, len(state.tail)
+        last, begin, live = {j: x[-1] for j, x in state.live}, {}, [j for j, _ in state.live]
+        for i in range(base + 1, len(data) + 1):
+            still, here = [], -1
+            for j in live:
+                if (got := known.get(data[j:i])) is not None:
+                    token, grows = got
+                    if here < 0 <= token and ((ok := pairs.get((last[j], token))) or ok is None and self.stay_apart(last[j], token)):
+                        here, begin[i] = token, j
+                    if grows:
+                        still.append(j)
+            if here < 0:
+                raise ValueError("no token ends here: the ranks lack a byte")
+            last[i] = here
+            still.append(i)
+            live = still
+        out, i = [], len(data)
+        while i > base:
+            out.append(last[i])
+            i = begin[i]
+        return [*next(x for j, x in state.live if j == i)[1:], *out[::-1]]
+
+    def encode(self, data: bytes) -> tuple[int, ...]:
         """The tokens of one match of the pattern."""
-        if (whole := self.ranks.get(data)) is not None and self.usable(data):
-            return [whole]
+        if (out := self._words.get(data)) is not None:
+            return out
         if len(self.states) >= MOST_STATES:
             self._reset()
-        state, out = self.start, []
-        for byte in data:
-            if (go := state.next.get(byte)) is None:
-                go = state.next[byte] = self.step(state, byte)
+        state, ids, i = self.start, [], 0
+        while i < len(data) and (go := state.next.get(data[i])) is not None:
             state, sure = go
-            if sure:
-                out += sure
-        return out + _listed(state.last[len(state.tail)])
+            ids += sure
+            i += 1
+        if i < len(data):  # a transition that is not known yet: it is built, and the rest runs undeterminised
+            state.next[data[i]] = go = self.step(state, data[i])
+            ids += go[1]
+            out = (*ids, *self._run(go[0], data[i + 1 :]))
+        else:
+            out = (*ids, *state.live[-1][1][1:])
+        if len(data) <= 64:
+            if len(self._words) >= MOST_WORDS:
+                self._words.clear()
+            self._words[data] = out
+        return out
 
 
 class Tokenizer:
