@@ -198,6 +198,9 @@ class Tokenizer:
             first = False
             yield known.get(x) or self.piece(x)
 
+    def parts_of(self, piece: str) -> tuple[int, ...]:
+        return (self.pieces.get(piece) or self.piece(piece))[0]
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for ids, _ in self.parts(text)))
 
