@@ -6,6 +6,7 @@ Words are runs of ``[^\\x20\\x09-\\x0D]``. On UTF-8 bytes these are the runs tha
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,8 +39,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the JVM's side of Python objects
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def dropped(df: DataFrame) -> None:

@@ -207,6 +207,54 @@ def _remove(window: int, with_text: bool):
     return run
 
 
+_ENDS = "doc_id long, for_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, proofs array<struct<src: long, digest: binary>>"
+_PROOF = pa.list_(pa.struct([("src", pa.int64()), ("digest", pa.binary())]))
+
+
+def _ends(window: int, with_text: bool):
+    """For a document: what is left of it without its own paths, and a digest of the words of its paths for each source.
+    For a request: the digest of the source's words of the paths of another document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = raw(batch.column("text"))
+            rows, last, words = [], None, []
+            for r, (doc, asker, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "for_id", "own")), strict=True)):
+                text = data[offs[r] : offs[r + 1]].tobytes()
+                if text != last:
+                    last, words = text, text.split()
+                proofs, cover = [], np.zeros(len(words) + 1, np.int64)
+                for f in own or []:
+                    p, whole = np.frombuffer(f["paths"], np.int32).reshape(-1, 3).tolist(), hashlib.blake2b(digest_size=16)
+                    for start, n, at in p:
+                        begin, size = (start if asker is None else at), n + window - 1
+                        whole.update(_digest(words, begin, size))
+                        if asker is None and start + size <= len(words):
+                            cover[start] += 1
+                            cover[start + size] -= 1
+                    proofs.append({"src": f["src"], "digest": whole.digest()})
+                if asker is not None:
+                    rows.append((doc, asker, None, None, None, None, proofs))
+                    continue
+                left = words
+                if cover.any():
+                    left = [words[k] for k in np.flatnonzero(np.cumsum(cover)[:-1] == 0).tolist()]
+                kept = b" ".join(left)
+                rows.append((doc, None, len(words), len(words) - len(left), kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest(), proofs))
+                if len(rows) >= 1000:
+                    yield _ended(rows)
+                    rows = []
+            if rows:
+                yield _ended(rows)
+
+    return run
+
+
+def _ended(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (*(pa.int64(),) * 4, pa.string(), pa.string(), _PROOF)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "for_id", "n_words", "n_removed", "kept_text", "kept_sha256", "proofs"])
+
+
 def repeated_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Unverified compacted paths: (doc_id, src, paths)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -221,12 +269,31 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     docs = ids_and_text(docs, id_col, text_col)
     paths = stored(repeated_paths(docs, window))
     released(docs.sparkSession)
+    # one exchange of the texts serves both ends of every path: each document's own paths, and what others ask it as a source
+    own = paths.selectExpr("doc_id as key", "struct(src, paths) as p").union(paths.selectExpr("src as key", "cast(null as struct<src: bigint, paths: binary>) as p").distinct())
+    own = own.groupBy("key").agg(F.collect_list("p").alias("own")).selectExpr("key", "cast(null as bigint) as for_id", "own")
+    asked = paths.selectExpr("src as key", "doc_id as for_id", "array(struct(src, paths)) as own")
     known = docs.where("doc_id is not null")
-    origin = paths.join(known.selectExpr("doc_id as origin", "text as src_text"), F.col("src") == F.col("origin"))
+    both = known.join(own.union(asked), F.col("doc_id") == F.col("key"), "left").select("doc_id", "text", "for_id", "own")
+    ends = stored(both.mapInArrow(_ends(window, with_text), _ENDS))
+    released(docs.sparkSession)
+    here = ends.where("for_id is null").select("doc_id", F.explode("proofs").alias("p")).selectExpr("doc_id", "p.src as src", "p.digest as digest")
+    there = ends.where("for_id is not null").selectExpr("for_id as doc_id", "explode(proofs) as p").selectExpr("doc_id", "p.src as src", "p.digest as theirs")
+    # an end without an equal one: a hash collision, or rows that share a doc_id; such documents are done path by path
+    odd = stored(here.join(there, ["doc_id", "src"], "left").groupBy("doc_id", "src", "digest").agg(F.min(F.coalesce(F.col("theirs") == F.col("digest"), F.lit(False))).alias("same")).where("not same").select("doc_id").distinct())
+    done = ends.where("for_id is null").select("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")
+    if odd.take(1):
+        slow = path_by_path(known.join(odd, "doc_id", "left_semi"), paths.join(odd, "doc_id", "left_semi"), known, window, with_text)
+        done = done.join(odd, "doc_id", "left_anti").union(slow)
+    return done.union(docs.where("doc_id is null").mapInArrow(_remove(window, with_text), _KEPT))
+
+
+def path_by_path(docs: DataFrame, paths: DataFrame, sources: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """Removes only paths of docs that are equal, one by one, in some row of their source."""
+    origin = paths.join(sources.selectExpr("doc_id as origin", "text as src_text"), F.col("src") == F.col("origin"))
     proven = origin.select("doc_id", "src", "paths", "src_text").mapInArrow(_sources(window), "doc_id long, paths binary, digests binary")
     mine = proven.groupBy("doc_id").agg(F.collect_list(F.struct("paths", "digests")).alias("found")).withColumnRenamed("doc_id", "f_id")
-    done = known.join(mine, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", "text", "found").mapInArrow(_remove(window, with_text), _KEPT)
-    return done.union(docs.where("doc_id is null").mapInArrow(_remove(window, with_text), _KEPT))
+    return docs.join(mine, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", "text", "found").mapInArrow(_remove(window, with_text), _KEPT)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
