@@ -100,19 +100,20 @@ class HexLattice:
             out &= F.abs(dx * 0.5 + dy * (sign * s)) <= hx * 0.5 + hy * s + w
         return out
 
-    def assign(self, x: Column, y: Column) -> Column:
-        """hex_id of a point: the nearest centre of the two candidate rows, the smaller id on a tie; null outside the lattice."""
-        h = 1.5 * self.radius
-        r0 = F.floor((y - self.miny) / h)
-
-        def near(row: Column) -> tuple[Column, Column]:
-            col = F.floor((x - self.minx - F.pmod(row, F.lit(2)) * (self.width / 2)) / self.width + 0.5)
-            cx, cy = F.lit(self.minx) + col * self.width + F.pmod(row, F.lit(2)) * (self.width / 2), F.lit(self.miny) + row * h
-            return col, (x - cx) * (x - cx) + (y - cy) * (y - cy)
-
-        (c0, d0), (c1, d1) = near(r0), near(r0 + 1)
-        row, col = F.when(d0 <= d1, r0).otherwise(r0 + 1), F.when(d0 <= d1, c0).otherwise(c1)
-        return F.when((row >= 0) & (row < self.n_rows) & (col >= 0) & (col < self.n_cols), row * self.n_cols + col)
+    def place(self, df: DataFrame, x: str = "x", y: str = "y", out: str = "hex_id") -> DataFrame:
+        """df with the hex_id of each point: the nearest centre of the two candidate rows, the smaller id on a tie; null
+        outside the lattice. Steps are columns of their own, so each is computed once."""
+        h, half = 1.5 * self.radius, self.width / 2
+        df = df.withColumn("__r0", F.floor((F.col(y) - self.miny) / h))
+        df = df.withColumns({"__s0": F.lit(self.minx) + F.pmod("__r0", F.lit(2)) * half, "__s1": F.lit(self.minx) + F.pmod(F.col("__r0") + 1, F.lit(2)) * half})
+        df = df.withColumns({f"__c{k}": F.floor((F.col(x) - F.col(f"__s{k}")) / self.width + 0.5) for k in (0, 1)})
+        for k in (0, 1):
+            dx, dy = F.col(x) - (F.col(f"__s{k}") + F.col(f"__c{k}") * self.width), F.col(y) - (F.lit(self.miny) + (F.col("__r0") + k) * h)
+            df = df.withColumn(f"__d{k}", dx * dx + dy * dy)
+        df = df.withColumns({"__row": F.expr("if(__d0 <= __d1, __r0, __r0 + 1)"), "__col": F.expr("if(__d0 <= __d1, __c0, __c1)")})
+        inside = (F.col("__row") >= 0) & (F.col("__row") < self.n_rows) & (F.col("__col") >= 0) & (F.col("__col") < self.n_cols)
+        df = df.withColumn(out, F.when(inside, F.col("__row") * self.n_cols + F.col("__col")))
+        return df.drop("__r0", "__s0", "__s1", "__c0", "__c1", "__d0", "__d1", "__row", "__col")
 
     def vertices(self, cx: Column, cy: Column) -> Column:
         """The closed ring of a cell as an array of (x, y)."""

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _lgamma(a: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def normal_sf2(z) -> np.ndarray:
     return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)), otypes=[float])(np.asarray(z, float))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def poisson_tail(observed: pd.Series, expected: pd.Series) -> pd.Series:
     """poisson_sf as a vectorised column function."""
     return pd.Series(poisson_sf(observed, expected))

@@ -37,7 +37,8 @@ def points_to_cells(points: DataFrame, lattice: HexLattice, agg="mean", value_co
         spec = {c: names for c in cols}
     plain = len({tuple(a) for a in spec.values()}) == 1 and all(len(a) == 1 for a in spec.values())
     exprs = [aggregate_expr(a, c, order).alias(c if plain else f"{c}_{a}") for c, names in spec.items() for a in names]
-    placed = points.withColumn("hex_id", lattice.assign(F.col(x), F.col(y))).where("hex_id is not null")
+    # -1 for points outside: a test for null would be pushed down and repeat the whole placement
+    placed = lattice.place(points, x, y).withColumn("hex_id", F.coalesce("hex_id", F.lit(-1).cast("long")))
     stats = placed.groupBy("hex_id").agg(F.count("*").alias(count_column), *exprs)
     out = lattice.cells(points.sparkSession).join(stats, "hex_id", "left" if keep_empty else "inner")
     return out.withColumn(count_column, F.coalesce(count_column, F.lit(0).cast("long")))

@@ -1,4 +1,6 @@
 """Queries and their DuckDB oracles, by operator key."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relational, spatial
+
+QUERIES: dict = {**relational.QUERIES, **spatial.QUERIES}
+ORACLES: dict = {**relational.ORACLES, **spatial.ORACLES}
