@@ -8,8 +8,8 @@ compared; they are memoised.
 Transducer. A state holds the bytes since the last settled token, and for every live position (one from which a token
 could still grow) the last token that ends there. Reading a byte finds the new last token, drops positions from which no
 token can grow, and emits the tokens that all live positions share. So lookahead is bounded by the longest token. States
-and transitions are built when inputs first need them, one for each input that leaves the known ones; the rest of such an
-input runs undeterminised. The tables are emptied when they reach a fixed size.
+and transitions are built when inputs first need them, one for each input that leaves the known ones early; the rest of
+such an input runs undeterminised. The tables are emptied when they reach a fixed size.
 
 Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, which holds back incomplete characters between
 chunks.
@@ -41,7 +41,9 @@ from .common import ids_and_text, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of the tables that are emptied when full.
-MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 80_000, 250_000, 200_000, 200_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 60_000, 500_000, 700_000, 900_000
+#: An input that leaves the known states within so many bytes adds one.
+DEPTH = 6
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,20 +51,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
-    """Merges the adjacent pair of lowest rank, the leftmost first, until none is left. Only for short inputs."""
+def merged(ranks: dict[bytes, int], data: bytes, to: int = 1) -> list[bytes]:
+    """Merges the adjacent pair of lowest rank, the leftmost first, until none or ``to`` parts are left. Only for short inputs."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
+    while len(parts) > to:
         rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
         if rank == 1 << 60:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    return parts
 
 
 class _State:
     """tail: the bytes since the last settled token. live: for each position of tail from which a token could grow, the chain of
-    tokens that ends there, which begins with the last settled token (None at the start)."""
+    tokens that ends there, which begins with the last settled token (-1 at the start)."""
 
     __slots__ = ("live", "next", "tail")
 
@@ -73,19 +75,25 @@ class _State:
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        #: for each usable token and each proper prefix of one: its id or -1, and whether it can grow
-        self.known: dict[bytes, tuple[int, bool]] = {}
-        good = {b: i for b, i in ranks.items() if len(b) < 3 or merged(ranks, b) == [i]}
-        grows = {b[:k] for b in good for k in range(1, len(b))}
-        for b in grows | good.keys():
-            self.known[b] = good.get(b, -1), b in grows
-        self._pairs: dict[tuple[int, int], bool] = {}
+        good, self.halves = {}, {}  # halves: the two tokens of a token's last merge; of a byte, itself twice
+        for b, i in ranks.items():
+            two = merged(ranks, b, 2) if len(b) > 1 else [b, b]
+            if len(two) == 2:
+                good[b], self.halves[i] = i, (ranks[two[0]], ranks[two[1]])
+        #: a trie of the usable tokens; a node is [token or -1, children by byte]
+        self.trie: list = [-1, {}]
+        for b, i in good.items():
+            node = self.trie
+            for c in b:
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
+        self._pairs: dict[int, bool] = {}  # by (left + 1) << 20 | right, left -1 for the start
         self._words: dict[bytes, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.start = self._state(b"", ((0, (None,)),))
+        self.start = self._state(b"", ((0, (-1,)),))
 
     def _state(self, tail: bytes, live: tuple) -> _State:
         key = (tail, live)
@@ -93,24 +101,46 @@ class Transducer:
             s = self.states[key] = _State(tail, live)
         return s
 
-    def stay_apart(self, left: int | None, right: int) -> bool:
-        key = (left, right)
+    def stay_apart(self, left: int, right: int) -> bool:
+        key = (left + 1) << 20 | right
         if (ok := self._pairs.get(key)) is None:
             if len(self._pairs) >= MOST_PAIRS:
                 self._pairs.clear()
-            ok = self._pairs[key] = left is None or merged(self.ranks, self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            ok = self._pairs[key] = left < 0 or self._apart(left, right)
         return ok
 
+    def _apart(self, left: int, right: int) -> bool:
+        """Undoes the merges of both tokens, latest first: no pair across the boundary may have merged before them."""
+        ranks, bytes_of, halves, before = self.ranks, self.bytes_of, self.halves, 1 << 60
+        while True:
+            if ranks.get(bytes_of[left] + bytes_of[right], before) < before:
+                return False
+            for side in ("l", "r") if left > right else ("r", "l"):
+                # of two merges of one rank, the left one is first
+                if side == "l" and (inner := halves[left][1]) != left:
+                    before, left = left, inner
+                    break
+                if side == "r" and (inner := halves[right][0]) != right:
+                    before, right = right + 1, inner
+                    break
+            else:
+                return True
+
+    def _at(self, data: bytes) -> list | None:
+        node = self.trie
+        for c in data:
+            if (node := node[1].get(c)) is None:
+                return None
+        return node
+
     def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The transition of a state on a byte: the new state and the tokens that are certain now."""
-        tail, known = state.tail + bytes((byte,)), self.known
-        here, live = None, []
+        tail, here, live = state.tail + bytes((byte,)), None, []
         for j, path in state.live:
-            if (got := known.get(tail[j:])) is not None:
-                token, grows = got
-                if here is None and token >= 0 and self.stay_apart(path[-1], token):
-                    here = (*path, token)
-                if grows:
+            if (node := self._at(tail[j:])) is not None:
+                if here is None and node[0] >= 0 and self.stay_apart(path[-1], node[0]):
+                    here = (*path, node[0])
+                if node[1]:
                     live.append((j, path))
         if here is None:
             raise ValueError("no token ends here: the ranks lack a byte")
@@ -128,22 +158,26 @@ class Transducer:
 
     def _run(self, state: _State, rest: bytes) -> list[int]:
         """The tokens after those that state has emitted, if the input ends with rest. It does what step() does, without building states."""
-        data, known, pairs, base = state.tail + rest, self.known, self._pairs, len(state.tail)
-        last, begin, live = {j: x[-1] for j, x in state.live}, {}, [j for j, _ in state.live]
-        for i in range(base + 1, len(data) + 1):
+        base, pairs, root = len(state.tail), self._pairs, self.trie[1]
+        last, begin = {j: x[-1] for j, x in state.live}, {}
+        live = [(j, (last[j] + 1) << 20, self._at(state.tail[j:])[1]) for j, _ in state.live]
+        i = base
+        for c in rest:
+            i += 1
             still, here = [], -1
-            for j in live:
-                if (got := known.get(data[j:i])) is not None:
-                    token, grows = got
-                    if here < 0 <= token and ((ok := pairs.get((last[j], token))) or ok is None and self.stay_apart(last[j], token)):
+            for j, left, kids in live:
+                if (node := kids.get(c)) is not None:
+                    token, more = node
+                    if here < 0 <= token and ((ok := pairs.get(left | token)) or ok is None and self.stay_apart(last[j], token)):
                         here, begin[i] = token, j
-                    if grows:
-                        still.append(j)
+                    if more:
+                        still.append((j, left, more))
             if here < 0:
                 raise ValueError("no token ends here: the ranks lack a byte")
             last[i] = here
-            still.append(i)
+            still.append((i, (here + 1) << 20, root))
             live = still
+        data = state.tail + rest
         out, i = [], len(data)
         while i > base:
             out.append(last[i])
@@ -161,7 +195,9 @@ class Transducer:
             state, sure = go
             ids += sure
             i += 1
-        if i < len(data):  # a transition that is not known yet: it is built, and the rest runs undeterminised
+        if i < len(data) and i >= DEPTH:
+            out = (*ids, *self._run(state, data[i:]))
+        elif i < len(data):  # a transition that is not known yet: it is built, and the rest runs undeterminised
             state.next[data[i]] = go = self.step(state, data[i])
             ids += go[1]
             out = (*ids, *self._run(go[0], data[i + 1 :]))
@@ -174,35 +210,40 @@ class Transducer:
         return out
 
 
+class _Pieces(dict):
+    """The ids of pieces, by their text after the leading space; missing ones are encoded, and all go when it is full."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.encode(" " + text)
+        if len(text) <= 64:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Tokenizer:
     """Encodes whole texts; holds the transducer and the table of pieces."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.fst, self.split = Transducer(read_ranks(path)), regex.compile(pattern)
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pieces = _Pieces(self._whole)
 
-    def piece(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(chain.from_iterable(self.fst.encode(m.encode("utf-8", "surrogatepass")) for m in self.split.findall(text)))
-        got = ids, ",".join(map(str, ids))
-        if len(text) <= 64:
-            if len(self.pieces) >= MOST_PIECES:
-                self.pieces.clear()
-            self.pieces[text] = got
-        return got
-
-    def parts(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
-        """Ids, and the same joined by commas, piece by piece. A piece after the first starts with its space."""
-        known, first = self.pieces, True
-        for x in _CUT.split(text):
-            x = x if first else " " + x
-            first = False
-            yield known.get(x) or self.piece(x)
-
-    def parts_of(self, piece: str) -> tuple[int, ...]:
-        return (self.pieces.get(piece) or self.piece(piece))[0]
+    def _whole(self, text: str) -> tuple[int, ...]:
+        encode = self.fst.encode
+        return tuple(chain.from_iterable([encode(m.encode("utf-8", "surrogatepass")) for m in self.split.findall(text)]))
+
+    def piece(self, text: str) -> tuple[int, ...]:
+        """The ids of one piece as cut, with its leading space."""
+        return self.pieces[text[1:]] if text[:1] == " " and text[1:2].strip() else self._whole(text)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.parts(text)))
+        first, *rest = _CUT.split(text)
+        return list(chain(self.piece(first), chain.from_iterable(map(self.pieces.__getitem__, rest))))
 
 
 class Decoder:
@@ -230,12 +271,12 @@ _CHUNK = 1 << 16
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
+        name = {i: str(i) for i in t.fst.bytes_of}.__getitem__
         for batch in batches:
             n, out, sha, back = [], [], [], []
             for v in batch.column("text"):
-                parts = list(t.parts(v.as_py() or ""))
-                ids = list(chain.from_iterable(p for p, _ in parts))
-                said = ",".join([s for _, s in parts if s])
+                ids = t.encode(v.as_py() or "")
+                said = ",".join(map(name, ids))
                 decoder, digest = Decoder(t.fst.bytes_of), hashlib.sha256()
                 for at in range(0, len(ids), _CHUNK):
                     digest.update(decoder.feed(ids[at : at + _CHUNK], at + _CHUNK >= len(ids)).encode())

@@ -95,7 +95,7 @@ class CountTree:
         if not n:
             pieces = cut(new)
             self.encoded += len(pieces)
-            self.__dict__.update(CountTree(new, [len(p) for p in pieces], [len(t.parts_of(p)) for p in pieces]).__dict__ | {"encoded": self.encoded})
+            self.__dict__.update(CountTree(new, [len(p) for p in pieces], [len(t.piece(p)) for p in pieces]).__dict__ | {"encoded": self.encoded})
             return
         leaf, k, at = self.find(start)
         if before := self._step(leaf, k, -1):
@@ -107,7 +107,7 @@ class CountTree:
         old = "".join(touched)
         pieces = cut(old[: start - at] + new + old[end - at :])
         self.encoded += len(pieces)
-        fresh = [(p, len(t.parts_of(p))) for p in pieces]
+        fresh = [(p, len(t.piece(p))) for p in pieces]
         if leaf == last:
             self.leaves[leaf][k : j + 1] = fresh
             self.update(leaf)
@@ -147,7 +147,7 @@ def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
             for v in b.column("text"):
                 text = v.as_py() or ""
                 pieces = cut(text)
-                counts = [len(t.parts_of(p)) for p in pieces]
+                counts = [len(t.piece(p)) for p in pieces]
                 total.append(sum(counts))
                 trees.append(pack(list(map(len, pieces)), counts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
