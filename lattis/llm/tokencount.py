@@ -32,25 +32,36 @@ def cut(text: str) -> list[str]:
 
 
 class CountTree:
-    """sizes: characters of each piece; counts: tokens of each piece."""
-
-    def __init__(self, text: str, sizes: list[int], counts: list[int]):
-        at, pieces = 0, []
-        for n, c in zip(sizes, counts, strict=True):
-            pieces.append((text[at : at + n], c))
-            at += n
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i in range(len(self.leaves)):
-            self._sum(i)
-        for i in range(self.width - 1, 0, -1):
-            self._add(i)
-        self.encoded = 0
+    """sizes: characters of each piece; counts: tokens of each piece. Leaves hold LEAF pieces, and list them once touched."""
+
+    def __init__(self, text: str, sizes: np.ndarray, counts: np.ndarray):
+        self._text, self._sizes, self._counts, self.encoded = text, sizes, counts, 0
+        first = np.arange(0, len(sizes), LEAF)
+        chars, tokens = (np.add.reduceat(a, first) if len(a) else np.zeros(1, np.int64) for a in (sizes, counts))
+        self._starts = np.concatenate([[0], np.cumsum(chars)])
+        self.n_leaves, self.width = len(chars), 1 << (len(chars) - 1).bit_length()
+        self.touched: dict[int, list[tuple[str, int]]] = {}
+        self.chars, self.tokens = ([0, *self._up(a)] for a in (chars, tokens))
+
+    def _up(self, leaf: np.ndarray) -> list[int]:
+        """Nodes 1 to 2 * width - 1."""
+        level, out = np.zeros(self.width, np.int64), []
+        level[: len(leaf)] = leaf
+        while len(level):
+            out = [*level.tolist(), *out]
+            level = level.reshape(-1, 2).sum(axis=1) if len(level) > 1 else level[:0]
+        return out
+
+    def leaf(self, i: int) -> list[tuple[str, int]]:
+        if i not in self.touched:
+            part = slice(i * LEAF, (i + 1) * LEAF)
+            cuts = self._starts[i] + np.concatenate([[0], np.cumsum(self._sizes[part])])
+            self.touched[i] = [(self._text[a:b], c) for a, b, c in zip(cuts.tolist(), cuts[1:].tolist(), self._counts[part].tolist(), strict=False)]
+        return self.touched[i]
 
     def _sum(self, leaf: int) -> None:
-        self.chars[self.width + leaf] = sum(len(p) for p, _ in self.leaves[leaf])
-        self.tokens[self.width + leaf] = sum(c for _, c in self.leaves[leaf])
+        self.chars[self.width + leaf] = sum(len(p) for p, _ in self.leaf(leaf))
+        self.tokens[self.width + leaf] = sum(c for _, c in self.leaf(leaf))
 
     def _add(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -73,7 +84,7 @@ class CountTree:
                 at += self.chars[i]
                 i += 1
         leaf = i - self.width
-        for k, (p, _) in enumerate(self.leaves[leaf]):
+        for k, (p, _) in enumerate(self.leaf(leaf)):
             if char - at < len(p):
                 return leaf, k, at
             at += len(p)
@@ -81,11 +92,11 @@ class CountTree:
 
     def _step(self, leaf: int, k: int, by: int) -> tuple[int, int] | None:
         k += by
-        while not 0 <= k < len(self.leaves[leaf]):
+        while not 0 <= k < len(self.leaf(leaf)):
             leaf += by
-            if not 0 <= leaf < len(self.leaves):
+            if not 0 <= leaf < self.n_leaves:
                 return None
-            k = 0 if by > 0 else len(self.leaves[leaf]) - 1
+            k = 0 if by > 0 else len(self.leaf(leaf)) - 1
         return leaf, k
 
     def edit(self, start: int, end: int, new: str, t: Tokenizer) -> None:
@@ -95,44 +106,52 @@ class CountTree:
         if not n:
             pieces = cut(new)
             self.encoded += len(pieces)
-            self.__dict__.update(CountTree(new, [len(p) for p in pieces], [len(t.piece(p)) for p in pieces]).__dict__ | {"encoded": self.encoded})
+            self.__dict__.update(CountTree(new, *measured(new, t)).__dict__ | {"encoded": self.encoded})
             return
         leaf, k, at = self.find(start)
         if before := self._step(leaf, k, -1):
             leaf, k = before
-            at -= len(self.leaves[leaf][k][0])
+            at -= len(self.leaf(leaf)[k][0])
         last, j, _ = self.find(end)
         last, j = self._step(last, j, 1) or (last, j)
-        touched = [p for x in range(leaf, last + 1) for p, _ in self.leaves[x][k if x == leaf else 0 : j + 1 if x == last else None]]
+        touched = [p for x in range(leaf, last + 1) for p, _ in self.leaf(x)[k if x == leaf else 0 : j + 1 if x == last else None]]
         old = "".join(touched)
         pieces = cut(old[: start - at] + new + old[end - at :])
         self.encoded += len(pieces)
         fresh = [(p, len(t.piece(p))) for p in pieces]
         if leaf == last:
-            self.leaves[leaf][k : j + 1] = fresh
+            self.touched[leaf][k : j + 1] = fresh
             self.update(leaf)
         else:
-            self.leaves[leaf][k:] = fresh
-            self.leaves[last][: j + 1] = []
+            self.touched[leaf][k:] = fresh
+            self.touched[last][: j + 1] = []
             for x in range(leaf + 1, last):
-                self.leaves[x] = []
+                self.touched[x] = []
             for x in range(leaf, last + 1):
                 self.update(x)
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p, _ in leaf)
+        return "".join("".join(p for p, _ in self.touched[i]) if i in self.touched else self._text[self._starts[i] : self._starts[i + 1]] for i in range(self.n_leaves))
 
     def pack(self) -> bytes:
-        return pack([len(p) for leaf in self.leaves for p, _ in leaf], [c for leaf in self.leaves for _, c in leaf])
+        pieces = [x for i in range(self.n_leaves) for x in self.leaf(i)]
+        return pack(np.array([len(p) for p, _ in pieces], np.int64), np.array([c for _, c in pieces], np.int64))
+
+
+def measured(text: str, t: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of each piece of a text."""
+    if not text:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, *rest = _CUT.split(text)
+    return np.array([len(first) - 1, *map(len, rest)], np.int64) + 1, np.array([len(t.piece(first)), *map(len, map(t.pieces.__getitem__, rest))], np.int64)
 
 
-def pack(sizes: list[int], counts: list[int]) -> bytes:
+def pack(sizes: np.ndarray, counts: np.ndarray) -> bytes:
     return np.array([sizes, counts], np.uint32).tobytes()
 
 
-def unpack(blob: bytes) -> tuple[list[int], list[int]]:
-    a = np.frombuffer(blob, np.uint32).reshape(2, -1)
-    return a[0].tolist(), a[1].tolist()
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(blob, np.uint32).reshape(2, -1).astype(np.int64))
 
 
 def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -145,11 +164,9 @@ def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             total, trees = [], []
             for v in b.column("text"):
-                text = v.as_py() or ""
-                pieces = cut(text)
-                counts = [len(t.piece(p)) for p in pieces]
-                total.append(sum(counts))
-                trees.append(pack(list(map(len, pieces)), counts))
+                sizes, counts = measured(v.as_py() or "", t)
+                total.append(int(counts.sum()))
+                trees.append(pack(sizes, counts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
 
     kinds = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes), "n_tokens long, tree binary"])
