@@ -41,9 +41,9 @@ from .common import ids_and_text, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of the tables that are emptied when full.
-MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 60_000, 500_000, 700_000, 900_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 60_000, 500_000, 900_000, 1_200_000
 #: An input that leaves the known states within so many bytes adds one.
-DEPTH = 6
+DEPTH = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -159,26 +159,31 @@ class Transducer:
     def _run(self, state: _State, rest: bytes) -> list[int]:
         """The tokens after those that state has emitted, if the input ends with rest. It does what step() does, without building states."""
         base, pairs, root = len(state.tail), self._pairs, self.trie[1]
-        last, begin = {j: x[-1] for j, x in state.live}, {}
-        live = [(j, (last[j] + 1) << 20, self._at(state.tail[j:])[1]) for j, _ in state.live]
+        n = base + len(rest)
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        live = []
+        for j, path in state.live:
+            last[j] = path[-1]
+            live.append((j, (path[-1] + 1) << 20, root if j == base else self._at(state.tail[j:])[1]))
         i = base
         for c in rest:
             i += 1
             still, here = [], -1
             for j, left, kids in live:
-                if (node := kids.get(c)) is not None:
-                    token, more = node
-                    if here < 0 <= token and ((ok := pairs.get(left | token)) or ok is None and self.stay_apart(last[j], token)):
-                        here, begin[i] = token, j
+                if c in kids:
+                    token, more = kids[c]
+                    if here < 0 <= token:
+                        ok = pairs.get(left | token)
+                        if ok or ok is None and self.stay_apart(last[j], token):
+                            here = last[i] = token
+                            begin[i] = j
                     if more:
                         still.append((j, left, more))
             if here < 0:
                 raise ValueError("no token ends here: the ranks lack a byte")
-            last[i] = here
             still.append((i, (here + 1) << 20, root))
             live = still
-        data = state.tail + rest
-        out, i = [], len(data)
+        out, i = [], n
         while i > base:
             out.append(last[i])
             i = begin[i]
