@@ -1,0 +1,307 @@
+"""The training-data operators against oracles, brute force, round trips and odd inputs."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import corpus_pipeline
+import public_tokenizers
+import pytest
+import tiktoken
+from oracle import same
+from pyspark.sql import functions as F
+
+from lattis.llm import bpe, components, decontamination, licenses, minhash, quality, registry, secrets, sharding, substrings, tokencount, warc
+
+WS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts(spark, sf):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_oracle(spark, sf, name):
+    same(registry.QUERIES[name](spark, sf), registry.ORACLES[name])
+
+
+# substrings
+
+
+def brute_substrings(rows, k=13):
+    first = {}
+    for d, t in rows:
+        w = WS.findall(t or "")
+        for i in range(len(w) - k + 1 if d is not None else 0):
+            key = tuple(w[i : i + k])
+            first[key] = min(first.get(key, d), d)
+    out = []
+    for d, t in rows:
+        w = WS.findall(t or "")
+        gone = {i + j for i in range(len(w) - k + 1 if d is not None else 0) if first[tuple(w[i : i + k])] < d for j in range(k)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_substrings_odd(spark, odd, empty):
+    got = sorted((tuple(r) for r in substrings.without_repeats(odd, with_text=False).drop("kept_text").collect()), key=str)
+    assert got == brute_substrings([(r.doc_id, r.text) for r in odd.collect()])
+    assert substrings.without_repeats(empty).count() == 0
+
+
+def test_substrings_shared_ids(spark):
+    """Rows that share a doc_id but not their text go path by path."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a + " " + b), (2, b), (3, b + " x"), (3, a)]
+    got = sorted((tuple(r) for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).drop("kept_text").collect()), key=str)
+    assert got == brute_substrings(rows)
+
+
+# near duplicates
+
+
+def brute_components(rows):
+    sets = collections.defaultdict(list)
+    for d, t in rows:
+        w = WS.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[d].append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = {d: d for d in sets if d is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    nodes = [(d, s) for d, ss in sets.items() if d is not None for s in ss if s]
+    for i, (a, s) in enumerate(nodes):
+        for b, t in nodes[:i]:
+            if 100 * len(s & t) >= 75 * len(s | t):
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    return {d: root(d) for d in up}, sets
+
+
+def test_near_duplicates(spark, sf, odd, empty):
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        want, sets = brute_components(rows)
+        got = minhash.near_duplicates(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or r.doc_id == want[r.doc_id])
+            assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_chain_of_near_copies(spark):
+    """A chain whose ends aren't linked, and a group whose smallest id isn't linked to most."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        w = base[:]
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    want, _ = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 < len(set(want.values())) < 60
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103), (7, 7)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 103: 100, 105: 100}
+
+
+# quality rules
+
+
+def test_quality(spark, odd, empty):
+    got = quality.judge(odd).collect()
+    assert len(got) == odd.count() and quality.judge(empty).count() == 0
+    by = {(r.doc_id, r.n_words): r for r in got}
+    r = by[10, 50]
+    assert r.n_repeat_words == 50 and r.base_failed and not r.kept
+    assert by[4, 0].base_failed and by[7, 3].base_failed
+    assert by[9, 200 * 121].n_dup_lines == 199
+    assert not by[1, 120].base_failed and by[1, 120].word_chars == len("".join(odd.where("doc_id = 1").first().text.split()))
+
+
+# secrets
+
+
+def brute_base(text):
+    out = []
+    for k, (p, g, n, f) in {"assign": (r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, re.I | re.A), "access": ("AKIA[A-Z0-9]+", 0, 20, 0), "hex": ("[0-9a-f]+", 0, 24, 0)}.items():
+        out += [(m.start(), k, m.end()) for m in re.finditer(p, text, f) if len(m[g]) >= n]
+    return out
+
+
+def test_secrets(spark, sf, odd, empty):
+    rng = random.Random(1)
+    made = ["".join(rng.choice(["token", "Secret", "=", ":", " ", "'", '"', "AKIA", "ABCDEF0123456789", "deadbeef01", "ſecret", "toKen", "\n", "x9", "api_key"]) for _ in range(30)) for _ in range(300)]
+    for t in [*(t for _, t in texts(spark, sf)), *made]:
+        got = secrets.scan(t)
+        assert [x for x in got if x[1] != "lexed"] == sorted(brute_base(t), key=lambda x: (x[0], secrets.KINDS.index(x[1])))
+    got = {r.doc_id: r for r in secrets.secrets(odd, with_text=True).collect()}
+    assert got[12].n_assign == 1 and got[12].n_access == 1 and "aB3dE5gH" not in got[12].redacted and secrets.secrets(empty).count() == 0
+    text = "base = 'aB3dE5gH7jK9lM1n'\ndb.auth_token: base\n"
+    assert [text[s:e] for s, k, e in secrets.scan(text) if k == "lexed"] == ["base"]
+
+
+# encoding and token counts
+
+
+@pytest.fixture(scope="module")
+def pair():
+    t = bpe.tokenizer(public_tokenizers.path(bpe.RANKS))
+    return t, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=t.fst.ranks, special_tokens={})
+
+
+def test_bpe(spark, sf, odd, empty, pair):
+    t, lib = pair
+    rng = random.Random(2)
+    made = ["".join(rng.choice("ab eE'sS  \n\t\r1234é世\x1c\x85 🙂ñ.,-_=—​　tTheing") for _ in range(rng.randint(0, 80))) for _ in range(3000)] + ["a" * 3000, " " * 500 + "x"]
+    for x in [*(x for _, x in texts(spark, sf)), *made]:
+        assert t.encode(x) == lib.encode_ordinary(x)
+    for r, s in zip(bpe.encoded(odd).collect(), odd.collect(), strict=True):
+        ids = lib.encode_ordinary(s.text or "")
+        assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((s.text or "").encode()).hexdigest()
+    assert bpe.encoded(empty).count() == 0
+    d, ids = bpe.Decoder(t.fst.bytes_of), lib.encode_ordinary("é世🙂 " * 9)
+    assert "".join([*(d.feed([i]) for i in ids), d.feed([], True)]) == "é世🙂 " * 9
+
+
+def test_token_counts(spark, odd, empty, pair):
+    t, lib = pair
+    rng = random.Random(4)
+    for text in ["", "a", " a  b ", "\n\n", "the quick brown fox " * 300]:
+        tree, now = tokencount.CountTree(text, *tokencount.measured(text, t)), text
+        for _ in range(12):
+            a = rng.randint(0, len(now) + 2)
+            b, new = a + rng.choice([0, 1, 3, 50, 2000]), rng.choice(["", " ", "x", "  ", "\n", "'s", " the quick", "a " * 100])
+            tree.edit(a, b, new, t)
+            now = now[:a] + new + now[max(b, a) :]
+            assert tree.text() == now and tree.tokens[1] == len(lib.encode_ordinary(now))
+        again = tokencount.CountTree(now, *tokencount.unpack(tree.pack()))
+        assert again.tokens[1] == tree.tokens[1]
+    df = tokencount.with_trees(odd).withColumn("edits", F.expr(tokencount.EDITS))
+    for r in tokencount.edited(df).collect():
+        assert r.n_tokens_edited == len(lib.encode_ordinary(r.text)) and r.n_reencoded <= r.n_pieces + 12
+    assert tokencount.with_trees(empty).count() == 0
+
+
+# decontamination
+
+
+def distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p):
+        new = [i + 1]
+        for j, b in enumerate(t):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark, odd, empty):
+    rng = random.Random(6)
+    items = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 150))) for _ in range(6)]
+    items = [decontamination.normal(x) for x in items]
+    m, seen = decontamination.Matcher(list(enumerate(items))), 0
+    for _ in range(60):
+        k = rng.randrange(6)
+        w = list(items[k])
+        for _ in range(rng.randint(0, decontamination.budget(len(w)) + 2)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "q"])
+        doc = decontamination.normal("lorem ipsum " * 5 + "".join(w) + " dolor sit")
+        want = [(i, d, len(x)) for i, x in enumerate(items) if (d := distance(x, doc)) <= decontamination.budget(len(x))]
+        assert m.hits(doc) == want
+        seen += len(want)
+    assert seen > 20
+    bench = spark.createDataFrame([(1, "word3 W4 word4, w5 word5 w6 word6"), (2, None), (3, ""), (None, "short")], "item_id long, text string")
+    got = decontamination.matches(odd, bench).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 9, None} and {r.item_id for r in got} == {1}
+    assert decontamination.matches(empty, bench).count() == 0 and decontamination.matches(odd, bench.limit(0)).count() == 0
+
+
+# licences
+
+
+def test_licenses(spark, sf, odd, empty):
+    scanner = licenses.Scanner()
+    sizes = sorted(scanner.sizes)
+    for n in range(1, 3 * sizes[-1]):
+        fits = {k for k, (s, _) in enumerate(scanner.by_size) if 2000 * min(n, len(s)) // (n + len(s)) >= licenses.LEAST}
+        assert fits <= set(scanner.candidates(n))
+    every = licenses.Scanner(least=licenses.LEAST)
+    every.candidates = lambda n: range(len(every.by_size))
+    for _, t in texts(spark, sf):
+        assert scanner.text(t) == every.text(t)
+    assert scanner.text("intro words here\n\nReleased under the MIT license\nmore") == [("MIT", 1000, 2)]  # the line, and its block with one word more
+    assert licenses.licenses(odd).count() == odd.count() and licenses.licenses(empty).count() == 0
+
+
+# archives and shards
+
+
+def test_warc(spark, sf, tmp_path):
+    rows = [(1, "http://a/é b", "x"), (2, None, "x"), (3, "http://c", None), (4, "http://d", ""), (2, "http://e", "x"), (1, "http://f", "x"), (None, "http://g", "x"), (None, None, None), (9, "http://h", "y" * 50000)]
+    small = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for df, least in ((small, 0), (small, 1), (spark.read.parquet(f"{sf}/pages.parquet"), 0), (small.limit(0), 0)):
+        root = f"file://{tmp_path}/w{random.random()}"
+        m = warc.write_archives(df, root, roll=20000, least=least)
+        assert sum(f["records"] for f in m["files"]) == df.count()
+        first, data = {}, [(r.page_id, r.html or "") for r in df.collect()]
+        for p, h in data:
+            if p is not None and len(h.encode()) >= least:
+                first[h] = min(first.get(h, p), p)
+        want = sorted(((p, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), *(("revisit", first[h]) if p is not None and first.get(h, p) < p else ("response", None))) for p, h in data), key=str)
+        got = warc.read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_shards(spark, odd, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", odd.schema, target=1 << 20, smallest=1 << 16, fanout=3)
+    assert store.read().count() == 0
+    for k in range(7):
+        store.append(odd.where(F.expr(f"pmod(hash(coalesce(doc_id, 0)), 7) = {k}")))
+    before = store.version()
+    assert store.compact(keep_old=True) >= 1 and len(store.manifest()["shards"]) < 7
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(store.read()) == key(odd) == key(store.read(before))
+    old = store.manifest(before)
+    assert not store._commit(old, [])  # another writer was first
+
+
+# the pipeline
+
+
+def test_pipeline(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.run(spark, sf).collect()
+    good = [r.doc_id for r in quality.judge(docs).where("kept").collect()]
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    want, _ = brute_components([(d, rows[d]) for d in good])
+    kept = [d for d in good if want[d] == d]
+    m = decontamination.Matcher([(r.item_id, decontamination.normal(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    clean = {d: secrets.redacted(rows[d], secrets.scan(rows[d])) for d in kept if not m.hits(decontamination.normal(rows[d]))}
+    t = bpe.tokenizer(public_tokenizers.path(bpe.RANKS))
+    assert {r.doc_id: r.ids for r in out} == {d: t.encode(x) for d, x in clean.items()} and len(out) == len(clean)
+
+
+def test_stages_odd(spark, odd, empty, sf):
+    for df in (odd, empty):
+        x = df
+        for name, stage in corpus_pipeline.STAGES:
+            y = stage(spark, x, sf)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert y.columns == df.columns
+            y.count()
+            x = y
