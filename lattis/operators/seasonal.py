@@ -48,7 +48,7 @@ def long_from_wide(df: DataFrame, id_columns: list[str], pattern: str = r"(\d{4}
     if not cols:
         raise ValueError("no acquisition columns")
     long = df.select(*id_columns, *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in cols])
-    long = long.unpivot(id_columns, cols, "name", "value")
+    long = long.unpivot(id_columns, [f"`{c}`" for c in cols], "name", "value")
     return long.withColumn("year", F.regexp_extract("name", pattern, 1).cast("int")).withColumn("doy", F.regexp_extract("name", pattern, 2).cast("int")).drop("name")
 
 

@@ -33,7 +33,7 @@ def melt_grid(wide: DataFrame, value_name: str = "value", first_axis: str = "lon
     """A wide grid (first axis in the first column, the second in the other headers) as rows; empty cells are left out."""
     first, *rest = wide.columns
     w = wide.select(F.expr(f"try_cast(`{first}` as double)").alias(first), *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in rest])
-    long = w.unpivot([first], rest, second_axis, value_name).withColumnRenamed(first, first_axis)
+    long = w.unpivot([f"`{first}`"], [f"`{c}`" for c in rest], second_axis, value_name).withColumnRenamed(first, first_axis)
     return long.withColumn(second_axis, F.expr(f"try_cast(`{second_axis}` as double)")).dropna()
 
 
