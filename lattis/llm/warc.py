@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import released, scratch, table
 
 DATE = "2024-01-01T00:00:00Z"
 ROLL = 8 << 20
@@ -57,7 +57,7 @@ def record(page_id: int | None, url: str | None, digest: str, size: int, payload
 
 
 def member(data: bytes) -> bytes:
-    return gzip.compress(data, 3, mtime=0)
+    return gzip.compress(data, 6, mtime=0)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +127,8 @@ def write_archives(pages: DataFrame, root: str, roll: int = ROLL, least: int = 0
         fs.rename(path(f"{root}/_temporary/{r.temp}"), path(f"{root}/{name}"))
         listed.append({"name": name, "records": r.records, "bytes": r.bytes})
     fs.delete(path(f"{root}/_temporary"), True)
+    del files, sized, dup, first, narrow, made
+    released(spark)
     manifest = {"date": DATE, "files": listed}
     out = fs.create(path(f"{root}/.manifest.tmp"), True)
     out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
