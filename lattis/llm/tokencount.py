@@ -177,26 +177,29 @@ _EDITED = "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_re
 
 
 def edited(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
-    """docs with doc_id, text, n_tokens, tree and edits (array of start, end, new) -> counts and trees after the edits."""
+    """docs with doc_id, text, edits (array of start, end, new) and, if kept from before, n_tokens and tree -> counts and trees
+    after the edits. Trees that aren't given are built in the same pass."""
     path = path or public_tokenizers.path(RANKS)
+    kept = [c for c in ("n_tokens", "tree") if "tree" in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
             rows = []
-            for d, text, n, blob, edits in zip(*(b.column(c) for c in ("doc_id", "text", "n_tokens", "tree", "edits")), strict=True):
-                sizes, counts = unpack(blob.as_py())
-                tree = CountTree(text.as_py() or "", sizes, counts)
+            for d, text, edits, *old in zip(*(b.column(c) for c in ("doc_id", "text", "edits", *kept)), strict=True):
+                now = text.as_py() or ""
+                sizes, counts = unpack(old[1].as_py()) if old else measured(now, t)
+                tree, n = CountTree(now, sizes, counts), int(counts.sum())
                 for e in edits.as_py() or []:
                     if e is not None and e["start"] is not None and e["end"] is not None:
                         tree.edit(e["start"], e["end"], e["new"] or "", t)
                 new = tree.text()
-                rows.append((d.as_py(), n.as_py(), tree.tokens[1], len(sizes), tree.encoded, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), new if keep else None, tree.pack() if keep else None))
+                rows.append((d.as_py(), n, tree.tokens[1], len(sizes), tree.encoded, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), new if keep else None, tree.pack() if keep else None))
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.binary()]
             cols = zip(*rows, strict=True) if rows else ([],) * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _EDITED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_tokens", "tree", "edits").mapInArrow(run, _EDITED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits", *kept).mapInArrow(run, _EDITED)
 
 
 #: The query's edits: a note in front, a word in the middle third replaced, the last characters cut.
@@ -206,5 +209,5 @@ EDITS = """array(struct(0 as start, 0 as end, 'Note 2024: ' as new),
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_trees(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("edits", F.expr(EDITS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", F.expr(EDITS))
     return edited(docs, keep=False).drop("text", "tree")
