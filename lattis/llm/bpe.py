@@ -41,7 +41,7 @@ from .common import ids_and_text, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of the tables that are emptied when full.
-MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 60_000, 500_000, 900_000, 1_200_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 20_000, 250_000, 300_000, 700_000
 #: An input that leaves the known states within so many bytes adds one.
 DEPTH = 4
 
