@@ -21,7 +21,7 @@ from .common import sql_words, stored, table
 #: measure: numerator, denominator, slack
 MEASURES = {
     "symbols": ("1000 * n_symbols", "n_words", 100),
-    "dup_lines": ("1000 * n_dup_lines", "n_lines", 100),
+    "dup_lines": ("1000 * n_dup_lines", "n_lines", 350),
     "repeats": ("1000 * n_repeat_words", "n_words", 100),
     "word_length": ("100 * word_chars", "n_words", 200),
 }
