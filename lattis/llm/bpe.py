@@ -9,7 +9,7 @@ Transducer. A state holds the bytes since the last settled token, and for every
 could still grow) the last token that ends there. Reading a byte finds the new last token, drops positions from which no
 token can grow, and emits the tokens that all live positions share. So lookahead is bounded by the longest token. States
 and transitions are built when inputs first need them, one for each input that leaves the known ones early; the rest of
-such an input runs undeterminised. The tables are emptied when they reach a fixed size.
+such an input runs undeterminised, depth first from the last settled token. The tables have fixed sizes.
 
 Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, which holds back incomplete characters between
 chunks.
@@ -87,6 +87,8 @@ class Transducer:
             for c in b:
                 node = node[1].setdefault(c, [-1, {}])
             node[0] = i
+        #: the longest usable token that a token begins with, other than itself; -1 if none
+        self.shorter = {i: next((good[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in good), -1) for b, i in good.items()}
         self._pairs: dict[int, bool] = {}  # by (left + 1) << 20 | right, left -1 for the start
         self._words: dict[bytes, tuple[int, ...]] = {}
         self._reset()
@@ -156,38 +158,42 @@ class Transducer:
         shift = sum(len(self.bytes_of[t]) for t in sure)
         return self._state(tail[shift:], tuple((j - shift, x[n - 1 :]) for j, x in live)), sure
 
-    def _run(self, state: _State, rest: bytes) -> list[int]:
-        """The tokens after those that state has emitted, if the input ends with rest. It does what step() does, without building states."""
-        base, pairs, root = len(state.tail), self._pairs, self.trie[1]
-        n = base + len(rest)
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        live = []
-        for j, path in state.live:
-            last[j] = path[-1]
-            live.append((j, (path[-1] + 1) << 20, root if j == base else self._at(state.tail[j:])[1]))
-        i = base
-        for c in rest:
-            i += 1
-            still, here = [], -1
-            for j, left, kids in live:
-                if c in kids:
-                    token, more = kids[c]
-                    if here < 0 <= token:
-                        ok = pairs.get(left | token)
-                        if ok or ok is None and self.stay_apart(last[j], token):
-                            here = last[i] = token
-                            begin[i] = j
-                    if more:
-                        still.append((j, left, more))
-            if here < 0:
+    def _run(self, settled: int, data: bytes) -> list[int]:
+        """The tokens of data after a settled token. It follows the transducer's paths without building states: the longest
+        token first, back from positions where none fits. Only one chain of tokens leads to a position, so one that failed stays
+        closed."""
+        root, pairs, shorter, bytes_of, n = self.trie[1], self._pairs, self.shorter, self.bytes_of, len(data)
+        out: list[int] = []
+        closed, at, left = set(), 0, settled
+        while at < n:
+            kids, token, i = root, -1, at
+            while i < n and (node := kids.get(data[i])) is not None:
+                i += 1
+                kids = node[1]
+                if node[0] >= 0:
+                    token, end = node[0], i
+            if token < 0:
                 raise ValueError("no token ends here: the ranks lack a byte")
-            still.append((i, (here + 1) << 20, root))
-            live = still
-        out, i = [], n
-        while i > base:
-            out.append(last[i])
-            i = begin[i]
-        return [*next(x for j, x in state.live if j == i)[1:], *out[::-1]]
+            while True:
+                while token >= 0:
+                    if not closed or end not in closed:
+                        ok = pairs.get((left + 1) << 20 | token)
+                        if ok or ok is None and self.stay_apart(left, token):
+                            break
+                    token = shorter[token]
+                    end = at + len(bytes_of[token]) if token >= 0 else at
+                else:
+                    closed.add(at)
+                    if not out:
+                        raise ValueError("no token ends here: the ranks lack a byte")
+                    token = out.pop()
+                    end, at = at, at - len(bytes_of[token])
+                    left = out[-1] if out else settled
+                    continue
+                break
+            out.append(token)
+            left, at = token, end
+        return out
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """The tokens of one match of the pattern."""
@@ -201,11 +207,11 @@ class Transducer:
             ids += sure
             i += 1
         if i < len(data) and i >= DEPTH:
-            out = (*ids, *self._run(state, data[i:]))
+            out = (*ids, *self._run(state.live[0][1][0], data[i - len(state.tail) :]))
         elif i < len(data):  # a transition that is not known yet: it is built, and the rest runs undeterminised
             state.next[data[i]] = go = self.step(state, data[i])
             ids += go[1]
-            out = (*ids, *self._run(go[0], data[i + 1 :]))
+            out = (*ids, *self._run(go[0].live[0][1][0], data[i + 1 - len(go[0].tail) :]))
         else:
             out = (*ids, *state.live[-1][1][1:])
         if len(data) <= 64:
