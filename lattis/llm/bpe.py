@@ -222,16 +222,18 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """The ids of pieces, by their text after the leading space; missing ones are encoded, and all go when it is full."""
+    """The ids of pieces, by their text after the leading space; missing ones are encoded. When it is full, its entries become the
+    old generation: those that are met again come back, the others go with the next."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = self.encode(" " + text)
+        ids = self.old.pop(text, None) or self.encode(" " + text)
         if len(text) <= 64:
-            if len(self) >= MOST_PIECES:
+            if len(self) >= MOST_PIECES // 2:
+                self.old = dict(self)
                 self.clear()
             self[text] = ids
         return ids
@@ -245,8 +247,10 @@ class Tokenizer:
         self.pieces = _Pieces(self._whole)
 
     def _whole(self, text: str) -> tuple[int, ...]:
-        encode = self.fst.encode
-        return tuple(chain.from_iterable([encode(m.encode("utf-8", "surrogatepass")) for m in self.split.findall(text)]))
+        encode, found = self.fst.encode, self.split.findall(text)
+        if len(found) == 1:
+            return encode(found[0].encode("utf-8", "surrogatepass"))
+        return tuple(chain.from_iterable([encode(m.encode("utf-8", "surrogatepass")) for m in found]))
 
     def piece(self, text: str) -> tuple[int, ...]:
         """The ids of one piece as cut, with its leading space."""
