@@ -106,7 +106,7 @@ class HexLattice:
         h, half = 1.5 * self.radius, self.width / 2
         df = df.withColumn("__r0", F.floor((F.col(y) - self.miny) / h))
         df = df.withColumns({"__s0": F.lit(self.minx) + F.pmod("__r0", F.lit(2)) * half, "__s1": F.lit(self.minx) + F.pmod(F.col("__r0") + 1, F.lit(2)) * half})
-        df = df.withColumns({f"__c{k}": F.floor((F.col(x) - F.col(f"__s{k}")) / self.width + 0.5) for k in (0, 1)})
+        df = df.withColumns({f"__c{k}": F.ceil((F.col(x) - F.col(f"__s{k}")) / self.width - 0.5) for k in (0, 1)})
         for k in (0, 1):
             dx, dy = F.col(x) - (F.col(f"__s{k}") + F.col(f"__c{k}") * self.width), F.col(y) - (F.lit(self.miny) + (F.col("__r0") + k) * h)
             df = df.withColumn(f"__d{k}", dx * dx + dy * dy)
