@@ -28,7 +28,6 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import public_tokenizers
@@ -36,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ids_and_text, table
+from .common import held, ids_and_text, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -272,10 +271,9 @@ class Decoder:
         return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)), last)
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str = public_tokenizers.PATTERN) -> Tokenizer:
-    """One per Python worker and vocabulary."""
-    return Tokenizer(path, pattern)
+    """Kept by a Python worker between tasks, until another operator asks for its own table."""
+    return held((path, pattern), lambda: Tokenizer(path, pattern))
 
 
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"

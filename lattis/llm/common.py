@@ -8,7 +8,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,19 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def held(key: object = None, make: Callable | None = None):
+    """The large table that a Python worker keeps between tasks. A worker holds one: asking for another, or for none, frees it, so a
+    stage doesn't carry the tables of the stages before it."""
+    if key not in _HELD:
+        _HELD.clear()
+        if make:
+            _HELD[key] = make()
+    return _HELD.get(key)
+
+
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names, whatever else docs holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

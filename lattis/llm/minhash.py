@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, ids_and_text, mix, raw, steps, stored, table, windows, word_hashes, word_spans
+from .common import dropped, held, ids_and_text, mix, raw, steps, stored, table, windows, word_hashes, word_spans
 from .components import components
 
 SHINGLE, PERCENT, HASHES, BANDS = 5, 75, 128, 32
@@ -78,6 +78,7 @@ _SKETCH = "doc_id long, n long, key binary, sig binary, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held()
     for batch in batches:
         data, offs = raw(batch.column("text"))
         for i, j in steps(offs):
@@ -97,6 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and signatures allow the similarity."""
+    held()
     # equal bytes: 0.75 + 0.25/256 expected of 128; a true pair falls below 63 with probability under 1e-11
     for b in batches:
         if not b.num_rows:
@@ -117,6 +119,7 @@ def _jaccard_ok(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among pairs with both texts; the text of b comes in runs."""
+    held()
     last, its = None, None
     for batch in batches:
         keep = []
