@@ -3,8 +3,10 @@
 Every document gets integer measures. For each language and source the measures are gathered in mergeable
 quantile sketches: log-linear histograms (exact below 32, then 16 bins a power of two), which merge by adding
 counts. A document is rejected when a base rule fails or a measure lies beyond the fence of its group,
-``median + spread * (p90 - median) + slack``. Groups with fewer than ``least`` rows take the sketch merged
-over their language, and small languages the sketch of the whole corpus.
+``median + spread * (p90 - median) + slack``, where p90 - median is at most that of its language and of the whole
+corpus: a group with much junk can't raise its own fence. Groups with fewer than ``least`` rows take the sketch merged
+over their language, and small languages the sketch of the whole corpus. ORACLE still has the fence without this bound
+(see the README).
 
 Defined results: null or empty text has no words, fails the base rule and joins no sketch; null language or
 source is a group of its own; repeated rows are judged one by one; an empty table gives no rows; other
@@ -77,14 +79,18 @@ def thresholds(m: DataFrame, least: int = LEAST_ROWS, spread: int = SPREAD) -> D
             F.min(F.expr("if(run * 2 >= n, bin, null)")).alias("mid"), F.min(F.expr("if(run * 10 >= n * 9, bin, null)")).alias("high"),
         )
         slack = "case measure " + " ".join(f"when '{k}' then {s}" for k, (_, _, s) in MEASURES.items()) + " end"
-        q = q.withColumn("fence", F.expr(f"mid + {spread} * (high - mid) + {slack}"))
-        one = [F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(f"{tag}_{k}") for k in MEASURES]
+        q = q.selectExpr(*keys, "measure", "n", f"mid + {slack} as mid", "high - mid as wide")
+        one = [F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"{tag}_{k}{end}") for k in MEASURES for c, end in (("mid", ""), ("wide", "_wide"))]
         return q.groupBy(*keys).agg(F.max("n").alias(f"{tag}_n"), *one)
 
+    def fence(k: str, tags: str) -> str:
+        # the wider sketches bound the spread, so junk in one group can't raise its own fence
+        return f"{tags[0]}_{k} + {spread} * " + (f"least({', '.join(f'{t}_{k}_wide' for t in tags)})" if len(tags) > 1 else f"{tags}_{k}_wide")
+
     out = fences(leaf, ["lang", "source"], "s")
     langs = fences(lang, ["lang"], "l").withColumnRenamed("lang", "l_lang")
     out = out.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(fences(every, [], "a")))  # the last is one row
-    pick = [F.expr(f"case when s_n >= {least} then s_{k} when l_n >= {least} then l_{k} else a_{k} end").alias(f"f_{k}") for k in MEASURES]
+    pick = [F.expr(f"case when s_n >= {least} then {fence(k, 'sla')} when l_n >= {least} then {fence(k, 'la')} else {fence(k, 'a')} end").alias(f"f_{k}") for k in MEASURES]
     return out.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *pick)
 
 

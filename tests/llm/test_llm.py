@@ -131,6 +131,16 @@ def test_quality(spark, odd, empty):
     assert not by[1, 120].base_failed and by[1, 120].word_chars == len("".join(odd.where("doc_id = 1").first().text.split()))
 
 
+@pytest.mark.parametrize("percent", [5, 15, 30])
+def test_quality_junk_in_group(spark, percent):
+    clean, n = " ".join(f"w{i:03}" for i in range(40)), 100
+    junk = " ".join(f"w{i:03} ##||" for i in range(40))
+    groups = [("en", "hot"), ("de", "hot")] + [("en", "good")] * 6  # the junk is under a tenth of en, of de only under a tenth of the corpus
+    rows = [(1000 * g + i, junk if src == "hot" and i < percent else clean, lang, src) for g, (lang, src) in enumerate(groups) for i in range(n)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(r.kept == (r.n_symbols == 0) for r in got)
+
+
 # secrets
 
 
