@@ -1,13 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Items and documents are normalised (lower case, runs of other characters than letters, digits and _ become one space). An
-item of m characters may be hit with up to k = min(m // 10, m // 16 - 1) edits (0 at least). Split into k + 1 pieces, one
-piece of any hit is exact. An Aho-Corasick automaton over all pieces finds exact piece hits in whole texts; hits give
-stretches of text, overlapping ones of an item are merged, and Myers' bit-parallel distance verifies each stretch.
+item of m characters may be hit with up to k = m // 10 edits. Split into n > k pieces, n - k pieces of any hit are exact,
+and the starts that they imply lie within k of each other. An Aho-Corasick automaton over all pieces finds exact piece hits
+in whole texts; where enough of them agree they give stretches of text, overlapping ones of an item are merged, and Myers'
+bit-parallel distance verifies each stretch. Items under MIN_CHARS are found without edits and between word bounds.
 
 The items are read in blocks of bounded size, each block against all documents.
 
-Defined results: null or empty texts hit nothing; items under MIN_CHARS normalised characters and null items are skipped;
+Defined results: null or empty texts hit nothing; null items and items without a letter or digit are skipped;
 repeated items and rows hit one by one; empty tables give no rows; other columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ids_and_text, table
 
-MIN_CHARS, PIECE, SHARE = 20, 16, 10
+MIN_CHARS, PIECE, SHARE = 20, 8, 10
 #: Characters of items in one block.
 BLOCK_CHARS = 1 << 20
 _OTHER = re.compile(r"[\W]+")
@@ -36,12 +37,12 @@ def normal(text: str | None) -> str:
 
 
 def budget(m: int) -> int:
-    return max(0, min(m // SHARE, m // PIECE - 1))
+    return m // SHARE if m >= MIN_CHARS else 0
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
-    """(offset, piece): budget + 1 pieces of nearly equal length."""
-    n = budget(len(item)) + 1
+    """(offset, piece): pieces of nearly equal length, PIECE or more where this leaves more than budget of them; one of a short item."""
+    n = max(budget(len(item)) + 1, len(item) // PIECE) if len(item) >= MIN_CHARS else 1
     cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -70,10 +71,12 @@ def myers(pattern: str, text: str, most: int) -> int | None:
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t) for i, t in items if len(t) >= MIN_CHARS]
-        where = defaultdict(list)
+        self.items = [(i, t) for i, t in items if t]
+        where, self.least = defaultdict(list), []
         for n, (_, t) in enumerate(self.items):
-            for at, piece in pieces(t):
+            cut = pieces(t)
+            self.least.append(len(cut) - budget(len(t)))
+            for at, piece in cut:
                 where[piece].append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -92,8 +95,17 @@ class Matcher:
         for n, starts in sorted(found.items()):
             (item, t), best = self.items[n], None
             k, m = budget(len(t)), len(t)
+            if m < MIN_CHARS:
+                if any(text[s - 1 : s] in ("", " ") and text[s + m : s + m + 1] in ("", " ") for s in starts):
+                    out.append((item, 0, m))
+                continue
+            starts.sort()
+            near = self.least[n] - 1
+            if len(starts) <= near:
+                continue
+            starts = {x for i, s in enumerate(starts[near:]) if s - starts[i] <= k for x in starts[i : i + near + 1]}
             a = b = None
-            for s in [*sorted(set(starts)), None]:
+            for s in [*sorted(starts), None]:
                 if a is not None and (s is None or s - k > b):
                     got = myers(t, text[a:b], k)
                     best = got if best is None or got is not None and got < best else best

@@ -241,6 +241,23 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.matches(empty, bench).count() == 0 and decontamination.matches(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_edits_and_short():
+    rng = random.Random(7)
+    for size in (20, 25, 31, 80, 220, 384):
+        item = decontamination.normal("".join(rng.choice("abcdefgh") for _ in range(size)))
+        m = decontamination.Matcher([(1, item)])
+        for edits in range(size // 10 + 1):
+            spread = list(item)
+            for at in range(edits):  # evenly spread: the hardest for exact pieces
+                spread[at * size // max(1, edits) + size // 50] = "z"
+            for copy in ("".join(spread), item[: size - edits]):
+                doc = "some words " + copy + " other words"
+                assert m.hits(doc) == [(1, distance(item, doc), size)]
+    m = decontamination.Matcher([(1, "what is 2 2"), (2, "")])
+    for doc, hit in (("so what is 2 2 then", True), ("what is 2 2", True), ("what is 2 2 3", True), ("somewhat is 2 2", False), ("what is 2 22", False), ("what is 2 3", False), ("somewhat is 2 2 what is 2 2", True)):
+        assert m.hits(doc) == ([(1, 0, 11)] if hit else [])
+
+
 # licences
 
 
