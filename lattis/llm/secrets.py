@@ -4,7 +4,8 @@ A small lexer reads each text that could hold a secret into name-literal pairs:
 ``name => value``, quoted or bare, with dotted and quoted names (source, YAML, JSON, INI, shell). Constants propagate: a
 bare value that names an earlier constant of the text, and ``a + b`` of literals and constants, take those values. A
 literal is scored by its target's name (does a part of it mean a secret?) and by its own form (length, character
-classes, entropy). Base patterns run beside the lexer on the same text, and their spans always stay.
+classes, entropy); a quoted literal of a name that means a secret by itself counts in full unless it is a placeholder,
+whatever its form. Private key blocks in PEM form count as lexed wherever they stand. Base patterns run beside the lexer on the same text, and their spans always stay.
 
 Offsets count code points, ends are exclusive. Defined results: null text counts as empty; repeated rows are scanned
 one by one; an empty table gives no rows; other columns are ignored. Texts are read whole.
@@ -37,12 +38,22 @@ TARGETS = {
     "private": 2, "auth": 2, "access": 1, "key": 1, "signature": 1, "salt": 1, "bearer": 2, "session": 1,
 }
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,127}"
+#: Quoted literals: in triple quotes over several lines, else within one line (an escaped line break goes on).
+_QUOTED = r"""\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*'{3}|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'"""
+#: Private key blocks, whole or cut off; line breaks inside may be written as \n.
+PEM = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?:(?:(?!-----)[\s\S])*-----END (?P=kind)-----|(?:\s*[A-Z][A-Za-z-]+: [^\n]+)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]+\s*\Z)?)")
+#: Quoted values of sensitive names that are no secrets: empty or masked ones, references, types and stock words.
+PLACEHOLDER = re.compile(
+    r"[\s*x.\-_?#]*|<[^<>]*>|\$\{[^{}]*\}|\$\w+|\{\{[^{}]*\}\}|\{\w*\}|%\(\w+\)s|%s|\[secret\]|change[\s_-]?me|placeholder|example|redacted|none|null|nil|undefined|true|false|todo|tbd|n/a"
+    r"|string|str|text|bytes|required|optional|(?:(?:your|my|the|example|sample|dummy|test|insert|enter)[\s_-]*)*(?:api[\s_-]?key|password|passwd|secret|token|credentials?)(?:[\s_-]*here)?",
+    re.IGNORECASE,
+)
 LEXER = re.compile(
     rf"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})(?P=q)[ \t]*(?::=|=>|[:=](?![=:]))[ \t]*
-    (?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_$./+~\-]+=*)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{_NAME}))*)""",
+    (?P<value>(?:{_QUOTED}|[A-Za-z0-9_$./+~\-]+=*)(?:[ \t]*\+[ \t]*(?:{_QUOTED}|{_NAME}))*)""",
     re.VERBOSE,
 )
-_PIECE = re.compile(r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s+"']+""")
+_PIECE = re.compile(rf"""{_QUOTED}|[^\s+"']+""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 ENOUGH = 5
 
@@ -74,7 +85,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         literal = ""
         for piece in _PIECE.findall(m["value"]):
             if piece[0] in "\"'":
-                literal += piece[1:-1]
+                n = 3 if len(piece) >= 6 and piece[:3] in ('"""', "'''") else 1
+                literal += piece[n:-n]
             else:
                 literal += known.get(piece.lstrip("$"), piece)
         known[m["name"]] = literal
@@ -90,10 +102,13 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     if _HEX_HINT.search(text):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if "PRIVATE KEY" in text:
+        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text)]
     if "=" in text or ":" in text:
         for name, literal, start, end in pairs(text):
             by_name = name_score(name)
-            if by_name and by_name + literal_score(literal) >= ENOUGH:
+            quoted = by_name >= 3 and ('"' in text[start:end] or "'" in text[start:end])
+            if by_name and by_name + literal_score(literal) >= ENOUGH or quoted and not PLACEHOLDER.fullmatch(literal):
                 found.append((start, 3, end))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
