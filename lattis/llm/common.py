@@ -25,11 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder; only where none is set (tests), one under /tmp."""
+    """A new folder in the cluster's shared folder. Where none is set, local sessions (tests) take one under /tmp; a cluster has no
+    folder that all machines see, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{(root or 'file:///tmp/lattis-scratch').rstrip('/')}/lattis-{uuid.uuid4().hex}"
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, lengthened until no column of docs has it (names are compared without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key counts as hot beyond this share of all rows; at most HOT_SHARE keys can.
+HOT_SHARE, HOT_ROWS = 1000, 500
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with values (key, others and ``copies``, the key's rows) on key. Keys with over a thousandth of all rows are
+    broadcast - there can't be more than a thousand - so none of them meets in one task; the others are joined by a shuffle."""
+    hot = values.where(F.col("copies") > max(HOT_ROWS, total // HOT_SHARE)).drop("copies")
+    cold = values.where(F.col("copies") <= max(HOT_ROWS, total // HOT_SHARE)).drop("copies")
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(cold, key, how))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark, at = df.sparkSession, scratch(df.sparkSession)

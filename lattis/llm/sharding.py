@@ -1,22 +1,30 @@
 """Size-tiered compaction of immutable shards with a versioned manifest (DataFrame functions only).
 
-Layout under a root folder in the shared store: ``shards/<name>/`` holds the Parquet files of one shard, written once;
-``manifests/v<number>.json`` lists the shards of one version. A manifest is written under a temporary name and renamed; a
-rename onto an existing version fails, so each version is committed by one writer, and a writer that loses plans again.
-Readers take the newest manifest, so they never see half a shard; files that no manifest lists are ignored.
+Layout under a root folder in the shared store: ``shards/<name>/`` holds the Parquet files of one shard, written once under a name
+that no other writer can have; ``manifests/v<number>.json`` lists the shards of one version. A manifest is written under a temporary
+name and published only if its version doesn't exist yet: a hard link on a local or mounted file system, a rename without overwrite
+elsewhere (atomic on HDFS; a store without either needs a conditional put here). So each version has one writer. A writer that loses
+reads the new manifest and commits the same shard again, so no arrival is lost, written twice or replaced. Readers take the newest
+manifest, so they never see half a shard; files that no manifest lists are ignored.
 
 ``append`` adds each arrival as one small shard. ``compact`` looks for ``fanout`` shards in one size tier (powers of
 ``fanout`` over the smallest tier) and merges them, without a shuffle, into files of about ``target`` bytes; that repeats
-until every tier is small. Replaced shards are deleted once the new version is committed and ``keep_old`` is false.
+until every tier is small. Replaced shards stay for readers of older versions; ``vacuum`` deletes those that were replaced, or
+written and never committed, over ``retain`` seconds ago.
 
 Defined results: an empty arrival adds an empty shard; an empty store reads as no rows of the given schema; rows, nulls,
-repeated rows and all columns come back as they were.
+repeated rows, ties, texts of any length and all columns, whatever their names, come back as they were.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
+import uuid
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,8 +33,8 @@ from .common import scratch, table
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, target: int = 32 << 20, smallest: int = 1 << 20, fanout: int = 4):
-        self.spark, self.root, self.schema = spark, root, schema
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, target: int = 32 << 20, smallest: int = 1 << 20, fanout: int = 4, retain: float = 3600.0):
+        self.spark, self.root, self.schema, self.retain = spark, root, schema, retain
         self.target, self.smallest, self.fanout = target, smallest, fanout
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -42,30 +50,48 @@ class ShardStore:
         """The shards of a version, the newest unless one is named."""
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "shards": []}
+            return {"version": 0, "shards": [], "retired": []}
         f = self._fs.open(self._path(f"{self.root}/manifests/v{version:08d}.json"))
         try:
             return json.loads(bytes(f.readAllBytes()).decode())
         finally:
             f.close()
 
-    def _commit(self, old: dict, shards: list[dict]) -> bool:
+    def _publish(self, temp, final) -> bool:
+        """Gives a written file its final name unless that is taken."""
+        if (final.toUri().getScheme() or "file") == "file":
+            try:
+                os.link(*(unquote(p.toUri().getPath()) for p in (temp, final)))
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(temp, False)
+            return True
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf)
+        try:
+            context.rename(temp, final, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            self._fs.delete(temp, False)
+            return False
+        return True
+
+    def _commit(self, old: dict, shards: list[dict], retired: list[dict] | None = None) -> bool:
         """True if this version is now old's successor; False if another writer was first."""
-        new = {"version": old["version"] + 1, "shards": shards}
-        final = self._path(f"{self.root}/manifests/v{new['version']:08d}.json")
-        temp = self._path(f"{self.root}/manifests/.{self.spark.sparkContext.applicationId}-{id(new)}.tmp")
-        f = self._fs.create(temp, True)
+        new = {"version": old["version"] + 1, "shards": shards, "retired": old["retired"] if retired is None else retired}
+        temp = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
+        f = self._fs.create(temp, False)
         f.write(bytearray(json.dumps(new, sort_keys=True).encode()))
         f.close()
-        if not self._fs.exists(final) and self._fs.rename(temp, final):
-            return True
-        self._fs.delete(temp, False)
-        return False
+        return self._publish(temp, self._path(f"{self.root}/manifests/v{new['version']:08d}.json"))
 
-    def _write(self, df: DataFrame, name: str, arrivals: list[int]) -> dict:
-        at = f"shards/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{at}")
-        return {"name": name, "bytes": sum(n for f, n in self._ls(at) if f.endswith(".parquet")), "files": sum(f.endswith(".parquet") for f, _ in self._ls(at)), "arrivals": arrivals}
+    def _write(self, df: DataFrame, kind: str) -> dict:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/shards/{name}")
+        files = [n for f, n in self._ls(f"shards/{name}") if f.endswith(".parquet")]
+        return {"name": name, "bytes": sum(files), "files": len(files)}
 
     def tier(self, size: int) -> int:
         t = 0
@@ -75,10 +101,10 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> dict:
         """One arrival becomes one shard and one version."""
+        shard = self._write(df.select(*(F.col(f"`{c.replace('`', '``')}`") for c in self.schema.names)), "a")
         while True:
             old = self.manifest()
-            number = 1 + max((a for s in old["shards"] for a in s["arrivals"]), default=0)
-            shard = self._write(df.select(*self.schema.names), f"a{number:08d}-{old['version'] + 1}", [number])
+            shard["arrivals"] = [1 + max((a for s in old["shards"] for a in s["arrivals"]), default=0)]
             if self._commit(old, [*old["shards"], shard]):
                 return shard
 
@@ -92,21 +118,38 @@ class ShardStore:
     def _read(self, shards: list[dict]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/shards/{s['name']}" for s in shards))
 
-    def compact(self, keep_old: bool = False) -> int:
+    def compact(self) -> int:
         """Merges until no tier is full; the number of merges."""
         merges = 0
-        while True:
+        while group := self.plan(self.manifest()["shards"]):
+            size, names = sum(s["bytes"] for s in group), {s["name"] for s in group}
+            merged = self._write(self._read(group).coalesce(max(1, -(-size // self.target))), "m")
+            merged["arrivals"] = sorted(a for s in group for a in s["arrivals"])
+            old = self.manifest()
+            while names <= {s["name"] for s in old["shards"]}:
+                gone = [*old["retired"], *({"name": n, "at": time.time()} for n in sorted(names))]
+                if self._commit(old, [*(s for s in old["shards"] if s["name"] not in names), merged], gone):
+                    merges += 1
+                    break
+                old = self.manifest()
+            else:  # another writer merged one of them first
+                self._fs.delete(self._path(f"{self.root}/shards/{merged['name']}"), True)
+        return merges
+
+    def vacuum(self) -> int:
+        """Deletes shards that were replaced, or written and never committed, over ``retain`` seconds ago; the number of them. Versions
+        that list them can't be read any more."""
+        before, old = time.time() - self.retain, self.manifest()
+        live = {s["name"] for s in old["shards"]} | {r["name"] for r in old["retired"] if r["at"] > before}
+        while not self._commit(old, old["shards"], [r for r in old["retired"] if r["name"] in live]):
             old = self.manifest()
-            group = self.plan(old["shards"])
-            if not group:
-                return merges
-            size, arrivals = sum(s["bytes"] for s in group), sorted(a for s in group for a in s["arrivals"])
-            merged = self._write(self._read(group).coalesce(max(1, -(-size // self.target))), f"m{old['version'] + 1:08d}-{arrivals[0]}", arrivals)
-            names = {s["name"] for s in group}
-            if self._commit(old, [*(s for s in old["shards"] if s["name"] not in names), merged]):
-                merges += 1
-                for n in names if not keep_old else ():
-                    self._fs.delete(self._path(f"{self.root}/shards/{n}"), True)
+            live |= {s["name"] for s in old["shards"]}
+        root = self._path(f"{self.root}/shards")
+        # a shard is listed only after its files are written, so a young folder may be an append that isn't committed yet
+        gone = [s.getPath() for s in (self._fs.listStatus(root) if self._fs.exists(root) else []) if s.getPath().getName() not in live and s.getModificationTime() < before * 1000]
+        for p in gone:
+            self._fs.delete(p, True)
+        return len(gone)
 
     def read(self, version: int | None = None) -> DataFrame:
         shards = self.manifest(version)["shards"]
