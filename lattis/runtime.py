@@ -24,8 +24,10 @@ def get_session(app: str = "lattis", **conf: str) -> SparkSession:
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder (spark.checkpoint.dir) and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/lattis-scratch"
-    at = f"{root.rstrip('/')}/lattis-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    at = f"{(root or 'file:///tmp/lattis-scratch').rstrip('/')}/lattis-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
