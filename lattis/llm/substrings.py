@@ -1,39 +1,47 @@
 """Substring dedup by de Bruijn compaction over tokens.
 
-1.  Edges. Every 13 consecutive words are one edge of a de Bruijn graph over 12-word nodes, kept as a 64-bit hash with its
-    source coordinates (doc_id, word). Edges are dealt by hash into buckets of bounded size; a step of about 8 MB of
-    text first settles repeats among its own documents, so a passage that is everywhere reaches a bucket once a step.
-2.  Repeats. A bucket finds the smallest document of each edge and tells every step which of its edges repeat one.
-3.  Compaction. Consecutive repeated edges whose sources are consecutive too form a nonbranching path; where the source
-    changes (a branch), a new path starts.
-4.  Verification. Joins on the source coordinates fetch the words of each path from both documents; only paths whose
-    words are equal (128-bit digests) are removed.
-
-Each word that a verified path covers is removed: exactly the words of those 13-word windows that also start in a
+1.  Edges. Every 13 consecutive words are one edge of a de Bruijn graph between the nodes of their first and last 12 words, kept as a
+    64-bit hash with its source coordinates (doc_id, word). Edges are dealt by hash into buckets of bounded size, in hops of at
+    most FAN ways, so the rows that are shuffled grow as the input does. A step of about 8 MB of text first settles repeats among
+    its own documents, so a passage that is everywhere reaches a bucket once a step.
+2.  Repeats. A bucket finds the smallest document of each edge; each edge of a larger document becomes a claim on that source. Claims
+    that follow one another in both documents make one run.
+3.  Compaction. The repeated edges, each once, are the runs' places in the sources. Their nodes' in- and out-degrees are counted over
+    all sources; sources are cut into segments where a node branches, and where the only edge into a node and the only one out
+    of it lie in different sources, their segments are joined. Pointer doubling finds each segment's path and its place there.
+    A circle of segments without a branch falls apart into its segments.
+4.  Verification. A document's runs become spans of paths: pieces that follow one another along a path are one span. The words of
+    each path are read at its source coordinates, and a span counts only if its words are equal (128-bit digests). Documents
+    with a span that isn't (a hash collision, or rows that share a doc_id) are done again run by run.
+
+Each word that a verified span covers is removed: exactly the words of those 13-word windows that also start in a
 document with a smaller doc_id.
 
-Defined results: null or empty text has no words; under 13 words nothing is removed; rows with a null doc_id keep all
-their words and are no source; rows that share a doc_id are one document and each get a row; repeats within one
-document stay; an empty table gives no rows; other columns are ignored.
+Defined results: null or empty text has no words; under 13 words nothing is removed; texts of any length are read whole; rows with a
+null doc_id keep all their words and are no source; rows that share a doc_id are one document and each get a row (their claims
+go to one task, which sorts and spills); the smallest of equal sources is the first word of the smallest doc_id; repeats within one
+document stay; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, raw, released, steps, stored, table, windows, word_hashes, word_spans
+from .common import dropped, ids_and_text, raw, released, steps, stored, table, windows, word_hashes, word_spans
 
 WINDOW = 13
 #: Bytes of text of one step, and about so many bytes of text of one bucket.
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+#: Ways of one hop, edges that a further hop takes at a time, edges of a block of the range join, and of a path before it is cut.
+FAN, HOP_EDGES, BLOCK, CHUNK = 512, 1 << 20, 256, 1 << 20
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -53,19 +61,34 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-_ASKED = "bucket long, step long, hashes binary, at binary, settled binary"
-_TOLD = "step long, found binary"
-_PATHS = "doc_id long, src long, paths binary"
+_ASKED = "id int, bucket long, hashes binary, at binary, settled binary"
+_CLAIMS = "doc_id long, pos int, src long, at int, local boolean"
 
 
-def _edges(buckets: int, window: int):
+def _row(*values) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in _ASKED.split(", ")])
+
+
+def _dealt(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, leads: np.ndarray, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Edges in groups of ``width`` buckets, packed; leads tells which have local claims on them."""
+    group = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) // width
+    # within a group in order of place, so that places pack well
+    order = np.lexsort((pos, doc, group))
+    h, doc, pos, leads, group = h[order], doc[order], pos[order], leads[order], group[order]
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(h)]
+    for x, y in pairwise(cuts):
+        if x < y:
+            g = int(group[x])
+            yield _row(g, g * width, h[x:y].tobytes(), _pack(doc[x:y], pos[x:y], leads[x:y]), None)
+
+
+def _edges(buckets: int, width: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
             data, offs = raw(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for i, j in steps(offs, BATCH_BYTES):
-                step += 1
                 starts, ends, bounds = word_spans(data, offs[i : j + 1])
                 if len(starts) < window:
                     continue
@@ -73,109 +96,324 @@ def _edges(buckets: int, window: int):
                 pos = np.arange(len(starts)) - bounds[row]
                 h = windows(word_hashes(data, starts, ends), window)
                 inside = np.flatnonzero(row[window - 1 :] == row[: len(h)])
-                h, doc, pos = h[inside], ids[i:j][row[inside]], pos[inside]
+                if not len(inside):
+                    continue
+                h, doc, pos = h[inside], ids[i:j][row[inside]], pos[inside].astype(np.int32)
                 order = np.lexsort((pos, doc, h))
                 h, doc, pos = h[order], doc[order], pos[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
+                new = np.concatenate([[True], h[1:] != h[:-1]])
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
                 late = doc > doc[lead]  # repeats an earlier document of this step
-                settled = _pack(doc[late], pos[late].astype(np.int32), doc[lead[late]], pos[lead[late]].astype(np.int32)) if late.any() else None
-                h, doc, pos = h[~late], doc[~late], pos[~late].astype(np.int32)
-                cut = np.searchsorted(h, (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)))
-                for b, (x, y) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(h)], strict=True)):
-                    if x < y:
-                        # within the bucket in order of place, so that places pack well
-                        k = np.lexsort((pos[x:y], doc[x:y]))
-                        yield _row(_ASKED, b, step, h[x:y][k].tobytes(), _pack(doc[x:y][k], pos[x:y][k]), None)
-                if settled:
-                    yield _row(_ASKED, step % buckets, step, None, None, settled)
+                if late.any():
+                    bucket = int(h[0] % np.uint64(buckets))
+                    yield _row(bucket // width, bucket, None, None, _pack(doc[late], pos[late], doc[lead[late]], pos[lead[late]]))
+                leads = np.zeros(len(h), np.int8)
+                leads[lead[late]] = 1
+                yield from _dealt(h[~late], doc[~late], pos[~late], leads[~late], buckets, width)
 
     return run
 
 
-def _row(kind: str, *values) -> pa.RecordBatch:
-    names, types = zip(*(x.split() for x in kind.split(", ")), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array([v], {"long": pa.int64(), "binary": pa.binary()}[t]) for v, t in zip(values, types, strict=True)], list(names))
+def _unpacked(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, ...]:
+    places = [_unpack(b, np.int64, np.int32, np.int8) for _, b in parts]
+    return np.concatenate([np.frombuffer(a, np.uint64) for a, _ in parts]), *(np.concatenate(x) for x in zip(*places, strict=True))
 
 
-def _repeats(t: pa.Table) -> pa.Table:
-    """One bucket: for each step, its edges that repeat one of a smaller document, with the source's coordinates."""
-    out, h, doc, pos, of = [], [], [], [], []
-    for r in t.select(["step", "hashes", "at", "settled"]).to_pylist():
-        if r["settled"]:
-            out.append((r["step"], r["settled"]))
-        else:
-            h.append(np.frombuffer(r["hashes"], np.uint64))
-            d, p = _unpack(r["at"], np.int64, np.int32)
-            doc.append(d)
-            pos.append(p)
-            of.append(np.full(len(d), r["step"]))
-    if h:
-        h, doc, pos, of = map(np.concatenate, (h, doc, pos, of))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        multi = np.zeros(len(h), bool)
-        multi[1:] |= same
-        multi[:-1] |= same
-        order = order[multi]
-        h, doc, pos, of = h[order], doc[order], pos[order], of[order]
-        order = np.lexsort((pos, doc, h))
-        h, doc, pos, of = h[order], doc[order], pos[order], of[order]
-        if len(h):
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            late = np.flatnonzero(doc > doc[lead])
-            late = late[np.lexsort((pos[late], doc[late], of[late]))]
-            cuts = np.flatnonzero(np.diff(of[late])) + 1
-            for k in np.split(late, cuts):
-                if len(k):
-                    out.append((int(of[k[0]]), _pack(doc[k], pos[k], doc[lead[k]], pos[lead[k]])))
-    return pa.table({"step": pa.array([s for s, _ in out], pa.int64()), "found": pa.array([b for _, b in out], pa.binary())})
-
-
-def _compact(t: pa.Table) -> pa.Table:
-    """One step: its repeated edges as paths (start, edges, start in the source), one row per document and source."""
-    parts = [_unpack(b, np.int64, np.int32, np.int64, np.int32) for b in t.column("found").to_pylist()]
-    doc, pos, src, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((pos, doc))
-    doc, pos, src, at = doc[order], pos[order], src[order], at[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (pos[1:] != pos[:-1] + 1) | (at[1:] != at[:-1] + 1)])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(doc)))
-    order = np.lexsort((first, src[first], doc[first]))
-    first, count = first[order], count[order]
-    d, s = doc[first], src[first]
-    cuts = np.flatnonzero((d[1:] != d[:-1]) | (s[1:] != s[:-1])) + 1
-    rows = [k for k in np.split(np.arange(len(first)), cuts) if len(k)]
-    paths = [np.stack([pos[first[k]], count[k], at[first[k]]], axis=1).astype(np.int32).tobytes() for k in rows]
-    return pa.table({"doc_id": pa.array([int(d[k[0]]) for k in rows], pa.int64()), "src": pa.array([int(s[k[0]]) for k in rows], pa.int64()), "paths": pa.array(paths, pa.binary())})
+def _again(buckets: int, width: int):
+    """A further hop: the edges of one group, dealt into smaller ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["settled"] is not None:
+                    yield _row(r["bucket"] // width, r["bucket"], None, None, r["settled"])
+                    continue
+                parts.append((r["hashes"], r["at"]))
+                n += len(r["hashes"]) // 8
+                if n >= HOP_EDGES:
+                    yield from _dealt(*_unpacked(parts), buckets, width)
+                    parts, n = [], 0
+        if parts:
+            yield from _dealt(*_unpacked(parts), buckets, width)
+
+    return run
+
+
+def _claimed(local: bool, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cols = (*cols, np.full(len(cols[0]), local))
+    names = [x.split()[0] for x in _CLAIMS.split(", ")]
+    for a in range(0, len(cols[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in cols], names)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket: its edges that repeat one of a smaller document, with the source's coordinates; and those that have local claims on
+    them, which are then claims on themselves if they are the source."""
+    parts = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["settled"] is not None:
+                yield from _claimed(True, *_unpack(r["settled"], np.int64, np.int32, np.int64, np.int32))
+            else:
+                parts.append((r["hashes"], r["at"]))
+    if not parts:
+        return
+    h, doc, pos, leads = _unpacked(parts)
+    del parts
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    multi = leads[order] > 0
+    multi[1:] |= same
+    multi[:-1] |= same
+    order = order[multi]
+    h, doc, pos, leads = h[order], doc[order], pos[order], leads[order]
+    order = np.lexsort((pos, doc, h))
+    h, doc, pos, leads = h[order], doc[order], pos[order], leads[order]
+    if len(h):
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        late = np.flatnonzero((doc > doc[lead]) | (leads > 0))
+        late = late[np.lexsort((pos[late], doc[late]))]
+        yield from _claimed(False, doc[late], pos[late], doc[lead[late]], pos[lead[late]])
+
+
+def claims(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, pos, src, at, local): edges that repeat one of a smaller document, and its first place there. A local claim is on the
+    smallest document of its step only; that place then has a claim of its own."""
+    buckets = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    widths = [1]
+    while -(-buckets // widths[0]) > FAN:
+        widths.insert(0, widths[0] * FAN)
+    asked = docs.where("doc_id is not null").mapInArrow(_edges(buckets, widths[0], window), _ASKED).repartitionById(-(-buckets // widths[0]), "id")
+    for w in widths[1:]:
+        asked = asked.mapInArrow(_again(buckets, w), _ASKED).repartitionById(-(-buckets // w), "id")
+    return asked.mapInArrow(_repeats, _CLAIMS)
+
+
+def runs(claimed: DataFrame) -> DataFrame:
+    """(doc_id, start, n, src, at): claims that follow one another in the document and in its source. Local claims are led on to the
+    source of all."""
+    order = "over (partition by doc_id order by pos, src, at"
+    c = claimed.selectExpr("*", f"coalesce(lag(src) {order}) = src and lag(at) {order}) = at - 1 and lag(pos) {order}) = pos - 1 and lag(local) {order}) = local, false) as follows")
+    c = c.selectExpr("*", f"sum(if(follows, 0, 1)) {order} rows between unbounded preceding and current row) as run")
+    c = c.groupBy("doc_id", "run").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n"), F.min("src").alias("src"), F.min("at").alias("at"), F.min("local").alias("local"))
+    c = stored(c.drop("run"))
+    known, local = c.where("not local").drop("local"), c.where("local")
+    a = local.selectExpr("*", f"explode(sequence(at div {BLOCK}, (at + n - 1) div {BLOCK})) as block")
+    b = known.selectExpr("doc_id as k_id", "start as q", "start + n as end", "src as k_src", "at as k_at", f"explode(sequence(start div {BLOCK}, (start + n - 1) div {BLOCK})) as k_block")
+    j = a.join(b, F.expr(f"src = k_id and block = k_block and at < end and q < at + n and greatest(at, q) div {BLOCK} = block"))
+    led = j.selectExpr("doc_id", "start + greatest(at, q) - at as start", "least(at + n, end) - greatest(at, q) as n", "k_src as src", "k_at + greatest(at, q) - q as at")
+    return known.where("src < doc_id").union(led)
+
+
+def intervals(found: DataFrame) -> DataFrame:
+    """(src, lo, hi): the repeated edges lo .. hi - 1 of each source, each edge once."""
+    places = found.groupBy("src", "at").agg(F.max("n").alias("n"))
+    order = "over (partition by src order by at rows between unbounded preceding and"
+    e = places.selectExpr("src", "at", "at + n as end", f"max(at + n) {order} 1 preceding) as before")
+    e = e.selectExpr("*", f"sum(if(at <= before, 0, 1)) {order} current row) as island")
+    return e.groupBy("src", "island").agg(F.min("at").alias("lo"), F.max("end").alias("hi")).drop("island")
+
+
+_NODES = "node long, src long, q int, into boolean, out boolean"
+
+
+def _nodes(window: int):
+    """The nodes of a source's repeated edges, with whether such an edge comes in and goes out there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            data, offs = raw(batch.column("text"))
+            for r, (src, parts) in enumerate(zip(batch.column("src").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
+                if src == last:  # of rows that share a doc_id, the first makes the graph; verification settles the others
+                    continue
+                last = src
+                starts, ends, _ = word_spans(data, offs[r : r + 2])
+                h = windows(word_hashes(data, starts, ends), window - 1).view(np.int64)
+                q = [np.arange(p["lo"], min(p["hi"], len(h) - 1) + 1) for p in parts]
+                at = np.concatenate(q)
+                into, out = (np.concatenate([x != x[end] if len(x) else x > 0 for x in q]) for end in (0, -1))
+                for a in range(0, len(at), 1 << 16):
+                    k = slice(a, a + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at[k]]), pa.array(np.full(len(at[k]), src)), pa.array(at[k].astype(np.int32)), pa.array(into[k]), pa.array(out[k])], [x.split()[0] for x in _NODES.split(", ")])
+
+    return run
+
+
+def segments(places: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(src, q, end): the intervals cut at branching nodes."""
+    points = places.selectExpr("src", "lo as q", "hi").unionByName(cuts.selectExpr("src", "q", "cast(null as int) as hi"))
+    order = "over (partition by src order by q"
+    p = points.selectExpr("src", "q", f"last(hi, true) {order} rows between unbounded preceding and current row) as hi", f"lead(q) {order}) as following")
+    return p.selectExpr("src", "q", "least(coalesce(following, hi), hi) as end")
+
+
+def heads(links: DataFrame) -> DataFrame:
+    """links (src, q, up_src, up_q, dist): segments and the one before each -> the first segment of the path and the edges up to here,
+    by pointer doubling. Segments in a circle are left out."""
+    p = stored(links.selectExpr("*", "true as open"))
+    for _ in range(max(1, p.count()).bit_length() + 1):
+        up = p.selectExpr("src as up_src", "q as up_q", "up_src as far_src", "up_q as far_q", "dist as more")
+        new = p.where("open").join(up, ["up_src", "up_q"], "left").selectExpr("src", "q", "coalesce(far_src, up_src) as up_src", "coalesce(far_q, up_q) as up_q", "dist + coalesce(more, 0) as dist", "far_src is not null as open")
+        new = stored(new.unionByName(p.where("not open")))
+        dropped(p)
+        p = new
+        if not p.where("open").take(1):
+            break
+    return p.where("not open").drop("open")
+
+
+def paths(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The compacted graph of the runs found: (src, q, end, path, off), where edge q of document src is edge off of a path."""
+    places = stored(intervals(found))
+    own = places.groupBy("src").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))  # no more than a document's words
+    nodes = docs.where("doc_id is not null").join(own.hint("merge"), F.col("doc_id") == F.col("src")).select("src", "text", "parts").mapInArrow(_nodes(window), _NODES)
+    nodes = nodes.selectExpr("*", "sum(int(into)) over (partition by node) as ins", "sum(int(out)) over (partition by node) as outs")
+    marks = stored(nodes.where("(into and out and (ins > 1 or outs > 1)) or (ins = 1 and outs = 1 and into <> out)"))
+    segs = stored(segments(places, marks.where("into and out").select("src", "q")))
+    ends = marks.where("into and not out").selectExpr("node", "src as t_src", "q as t_q")
+    begins = marks.where("out and not into").selectExpr("node", "src", "q")
+    links = begins.join(ends, "node").join(segs.selectExpr("src as up_src", "q as up_q", "end"), F.expr("t_src = up_src and t_q = end"))
+    first = heads(links.selectExpr("src", "q", "up_src", "up_q", "bigint(end - up_q) as dist"))
+    out = segs.join(first, ["src", "q"], "left").selectExpr("src", "q", "end", "coalesce(up_src, src) as p_src", "coalesce(up_q, q) as p_q", "coalesce(dist, 0) as off")
+    out = stored(out.selectExpr("src", "q", "end", f"xxhash64(p_src, p_q, off div {CHUNK}) as path", "off"))
+    for x in (places, marks, segs, first):
+        dropped(x)
+    return out
+
+
+def pieces(found: DataFrame, compact: DataFrame) -> DataFrame:
+    """(doc_id, start, n, path, off): each run's parts on the segments of its source, by a range join on blocks of edges."""
+    a = found.selectExpr("*", f"explode(sequence(at div {BLOCK}, (at + n - 1) div {BLOCK})) as block")
+    b = compact.selectExpr("src as s_src", "q", "end", "path", "off", f"explode(sequence(q div {BLOCK}, (end - 1) div {BLOCK})) as s_block")
+    j = a.join(b, F.expr(f"src = s_src and block = s_block and at < end and q < at + n and greatest(at, q) div {BLOCK} = block"))
+    return j.selectExpr("doc_id", "start + greatest(at, q) - at as start", "least(at + n, end) - greatest(at, q) as n", "path", "off + greatest(at, q) - q as off")
 
 
 def _digest(words: list[bytes], start: int, n: int) -> bytes:
     return hashlib.blake2b(b" ".join(words[start : start + n]), digest_size=16).digest() if 0 <= start and start + n <= len(words) else bytes(16)
 
 
+_KEPT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+_ENDS = f"{_KEPT}, spans array<struct<path: long, off: long, n: int, digest: binary>>, parts array<struct<path: long, off: long, words: binary>>"
+_SPAN = pa.list_(pa.struct([("path", pa.int64()), ("off", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())]))
+_PART = pa.list_(pa.struct([("path", pa.int64()), ("off", pa.int64()), ("words", pa.binary())]))
+
+
+def spans(own: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(start, edges, path, off) of a document's pieces; those that follow one another along a path are one."""
+    out: list[list[int]] = []
+    for p in sorted(own, key=lambda p: (p["path"], p["off"] - p["start"], p["start"])):
+        if out and out[-1][2] == p["path"] and out[-1][3] - out[-1][0] == p["off"] - p["start"] and out[-1][0] + out[-1][1] == p["start"]:
+            out[-1][1] += p["n"]
+        else:
+            out.append([p["start"], p["n"], p["path"], p["off"]])
+    return [tuple(x) for x in out]
+
+
+def _ends(window: int, with_text: bool):
+    """What is left of a document without its spans, the spans' digests, and the words of its own segments as parts of paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (*(pa.int64(),) * 3, pa.string(), pa.string(), _SPAN, _PART)
+        names = ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans", "parts"]
+        for batch in batches:
+            data, offs = raw(batch.column("text"))
+            rows, size = [], 0
+            for r, (doc, own, mine) in enumerate(zip(*(batch.column(c) for c in ("doc_id", "own", "mine")), strict=True)):
+                words = data[offs[r] : offs[r + 1]].tobytes().split()
+                proofs, cover, left = [], np.zeros(len(words) + 1, np.int64), words
+                for start, n, path, off in spans(own.as_py() or []):
+                    proofs.append({"path": path, "off": off, "n": n, "digest": _digest(words, start, n + window - 1)})
+                    if start + n + window - 1 <= len(words):
+                        cover[start] += 1
+                        cover[start + n + window - 1] -= 1
+                if proofs:
+                    left = [words[k] for k in np.flatnonzero(np.cumsum(cover)[:-1] == 0).tolist()]
+                parts = [{"path": m["path"], "off": m["off"], "words": b" ".join(words[m["q"] : m["end"] + window - 1])} for m in mine.as_py() or []]
+                kept = b" ".join(left)
+                rows.append((doc.as_py(), len(words), len(words) - len(left), kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest(), proofs, parts))
+                size += len(kept) if with_text else sum(len(p["words"]) for p in parts)
+                if len(rows) >= 1000 or size > 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _verify(window: int):
+    """Rows of a path, sorted: its parts (with words), then the spans asked for. Yields the spans whose words the path doesn't have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, words, first = None, [], 0
+        for batch in batches:
+            bad = []
+            for i, r in enumerate(zip(*(batch.column(c) for c in ("path", "off", "n", "digest", "words")), strict=True)):
+                p, off = r[0].as_py(), r[1].as_py()
+                if p != path:
+                    path, words, first = p, [], off
+                if (own := r[4].as_py()) is not None:
+                    own = own.split()
+                    have = off - first  # a part begins with the node that the part before it ends with
+                    if have + window - 1 == len(words) or not words:
+                        words += own[window - 1 :] if words else own
+                elif _digest(words, off - first, r[2].as_py() + window - 1) != r[3].as_py():
+                    bad.append(i)
+            yield batch.select(["path", "off", "n", "digest"]).take(pa.array(bad, pa.int64()))
+
+    return run
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_text (if asked for) and kept_sha256."""
+    docs = ids_and_text(docs, id_col, text_col)
+    found = stored(runs(claims(docs, window)))
+    released(docs.sparkSession)
+    compact = paths(docs, found, window)
+    released(docs.sparkSession)
+    # one exchange of the texts: each document's pieces, and its own segments as a source
+    own = pieces(found, compact).selectExpr("doc_id as key", "struct(start, n, path, off) as own", "cast(null as struct<q: int, end: int, path: bigint, off: bigint>) as mine")
+    mine = compact.selectExpr("src as key", "cast(null as struct<start: int, n: int, path: bigint, off: bigint>) as own", "struct(q, end, path, off) as mine")
+    asked = own.union(mine).groupBy("key").agg(F.collect_list("own").alias("own"), F.collect_list("mine").alias("mine"))  # no more than a document's words
+    known = docs.where("doc_id is not null")
+    ends = stored(known.join(asked, F.col("doc_id") == F.col("key"), "left").select("doc_id", "text", "own", "mine").mapInArrow(_ends(window, with_text), _ENDS))
+    released(docs.sparkSession)
+    words = ends.select(F.explode("parts").alias("p")).groupBy("p.path", "p.off").agg(F.min("p.words").alias("words"))
+    wanted = ends.select(F.explode("spans").alias("s")).select("s.*").distinct()
+    rows = words.selectExpr("path", "off", "0 as n", "cast(null as binary) as digest", "words").unionByName(wanted.selectExpr("*", "cast(null as binary) as words"))
+    rows = rows.withColumn("asks", F.col("words").isNull()).repartition("path").sortWithinPartitions("path", "asks", "off")
+    bad = stored(rows.drop("asks").mapInArrow(_verify(window), "path long, off long, n int, digest binary"))
+    done = ends.select("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")
+    if bad.take(1):
+        odd = stored(ends.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").join(bad, ["path", "off", "n", "digest"], "left_semi").select("doc_id").distinct())
+        slow = run_by_run(known.join(odd, "doc_id", "left_semi"), found.join(odd, "doc_id", "left_semi"), known, window, with_text)
+        done = done.join(odd, "doc_id", "left_anti").union(slow)
+    dropped(compact)
+    return done.union(docs.where("doc_id is null").mapInArrow(_remove(window, with_text), _KEPT))
+
+
 def _sources(window: int):
-    """The digests of all paths as the source has them."""
+    """The digests of all runs as the source has them."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = raw(batch.column("src_text"))
             out, last, words = [], None, []
-            for i, paths in enumerate(batch.column("paths").to_pylist()):
+            for i, found in enumerate(batch.column("runs").to_pylist()):
                 text = data[offs[i] : offs[i + 1]].tobytes()
                 if text != last:
                     last, words = text, text.split()
-                p = np.frombuffer(paths, np.int32).reshape(-1, 3).tolist()
-                out.append(b"".join(_digest(words, at, n + window - 1) for _, n, at in p))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("paths"), pa.array(out, pa.binary())], ["doc_id", "paths", "digests"])
+                out.append([{"start": r["start"], "n": r["n"], "digest": _digest(words, r["at"], r["n"] + window - 1)} for r in found])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "runs"])
 
     return run
 
 
-_KEPT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-
-
 def _remove(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,11 +425,10 @@ def _remove(window: int, with_text: bool):
                     words = data[offs[r] : offs[r + 1]].tobytes().split()
                     cover = np.zeros(len(words) + 1, np.int64)
                     for f in (found[r].as_py() or []) if found is not None else []:
-                        p = np.frombuffer(f["paths"], np.int32).reshape(-1, 3).tolist()
-                        for k, (start, n, _) in enumerate(p):
-                            if start + n + window - 1 <= len(words) and f["digests"][16 * k : 16 * k + 16] == _digest(words, start, n + window - 1):
-                                cover[start] += 1
-                                cover[start + n + window - 1] -= 1
+                        start, size = f["start"], f["n"] + window - 1
+                        if start + size <= len(words) and f["digest"] == _digest(words, start, size):
+                            cover[start] += 1
+                            cover[start + size] -= 1
                     total.append(len(words))
                     if cover.any():
                         stay = np.cumsum(cover)[:-1] == 0
@@ -207,93 +444,14 @@ def _remove(window: int, with_text: bool):
     return run
 
 
-_ENDS = "doc_id long, for_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, proofs array<struct<src: long, digest: binary>>"
-_PROOF = pa.list_(pa.struct([("src", pa.int64()), ("digest", pa.binary())]))
-
-
-def _ends(window: int, with_text: bool):
-    """For a document: what is left of it without its own paths, and a digest of the words of its paths for each source.
-    For a request: the digest of the source's words of the paths of another document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = raw(batch.column("text"))
-            rows, last, words = [], None, []
-            for r, (doc, asker, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "for_id", "own")), strict=True)):
-                text = data[offs[r] : offs[r + 1]].tobytes()
-                if text != last:
-                    last, words = text, text.split()
-                proofs, cover = [], np.zeros(len(words) + 1, np.int64)
-                for f in own or []:
-                    p, whole = np.frombuffer(f["paths"], np.int32).reshape(-1, 3).tolist(), hashlib.blake2b(digest_size=16)
-                    for start, n, at in p:
-                        begin, size = (start if asker is None else at), n + window - 1
-                        whole.update(_digest(words, begin, size))
-                        if asker is None and start + size <= len(words):
-                            cover[start] += 1
-                            cover[start + size] -= 1
-                    proofs.append({"src": f["src"], "digest": whole.digest()})
-                if asker is not None:
-                    rows.append((doc, asker, None, None, None, None, proofs))
-                    continue
-                left = words
-                if cover.any():
-                    left = [words[k] for k in np.flatnonzero(np.cumsum(cover)[:-1] == 0).tolist()]
-                kept = b" ".join(left)
-                rows.append((doc, None, len(words), len(words) - len(left), kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest(), proofs))
-                if len(rows) >= 1000:
-                    yield _ended(rows)
-                    rows = []
-            if rows:
-                yield _ended(rows)
-
-    return run
-
-
-def _ended(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (*(pa.int64(),) * 4, pa.string(), pa.string(), _PROOF)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "for_id", "n_words", "n_removed", "kept_text", "kept_sha256", "proofs"])
-
-
-def repeated_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Unverified compacted paths: (doc_id, src, paths)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_BYTES))
-    asked = docs.where("doc_id is not null").mapInArrow(_edges(buckets, window), _ASKED)
-    told = asked.groupBy("bucket").applyInArrow(_repeats, _TOLD)
-    return told.groupBy("step").applyInArrow(_compact, _PATHS)
-
-
-def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_text (if asked for) and kept_sha256."""
-    docs = ids_and_text(docs, id_col, text_col)
-    paths = stored(repeated_paths(docs, window))
-    released(docs.sparkSession)
-    # one exchange of the texts serves both ends of every path: each document's own paths, and what others ask it as a source
-    own = paths.selectExpr("doc_id as key", "struct(src, paths) as p").union(paths.selectExpr("src as key", "cast(null as struct<src: bigint, paths: binary>) as p").distinct())
-    own = own.groupBy("key").agg(F.collect_list("p").alias("own")).selectExpr("key", "cast(null as bigint) as for_id", "own")
-    asked = paths.selectExpr("src as key", "doc_id as for_id", "array(struct(src, paths)) as own")
-    known = docs.where("doc_id is not null")
-    both = known.join(own.union(asked), F.col("doc_id") == F.col("key"), "left").select("doc_id", "text", "for_id", "own")
-    ends = stored(both.mapInArrow(_ends(window, with_text), _ENDS))
-    released(docs.sparkSession)
-    here = ends.where("for_id is null").select("doc_id", F.explode("proofs").alias("p")).selectExpr("doc_id", "p.src as src", "p.digest as digest")
-    there = ends.where("for_id is not null").selectExpr("for_id as doc_id", "explode(proofs) as p").selectExpr("doc_id", "p.src as src", "p.digest as theirs")
-    # an end without an equal one: a hash collision, or rows that share a doc_id; such documents are done path by path
-    odd = stored(here.join(there, ["doc_id", "src"], "left").groupBy("doc_id", "src", "digest").agg(F.min(F.coalesce(F.col("theirs") == F.col("digest"), F.lit(False))).alias("same")).where("not same").select("doc_id").distinct())
-    done = ends.where("for_id is null").select("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")
-    if odd.take(1):
-        slow = path_by_path(known.join(odd, "doc_id", "left_semi"), paths.join(odd, "doc_id", "left_semi"), known, window, with_text)
-        done = done.join(odd, "doc_id", "left_anti").union(slow)
-    return done.union(docs.where("doc_id is null").mapInArrow(_remove(window, with_text), _KEPT))
-
-
-def path_by_path(docs: DataFrame, paths: DataFrame, sources: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """Removes only paths of docs that are equal, one by one, in some row of their source."""
-    origin = paths.join(sources.selectExpr("doc_id as origin", "text as src_text"), F.col("src") == F.col("origin"))
-    proven = origin.select("doc_id", "src", "paths", "src_text").mapInArrow(_sources(window), "doc_id long, paths binary, digests binary")
-    mine = proven.groupBy("doc_id").agg(F.collect_list(F.struct("paths", "digests")).alias("found")).withColumnRenamed("doc_id", "f_id")
-    return docs.join(mine, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", "text", "found").mapInArrow(_remove(window, with_text), _KEPT)
+def run_by_run(docs: DataFrame, found: DataFrame, sources: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """Removes only runs of docs that are equal, one by one, in some row of their source. A task gets a source once for each document
+    that asks it; of one document it gets at most the runs that its words make."""
+    mine = found.groupBy("doc_id", "src").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
+    origin = mine.join(sources.selectExpr("doc_id as origin", "text as src_text"), F.col("src") == F.col("origin"))
+    proven = origin.select("doc_id", "runs", "src_text").mapInArrow(_sources(window), "doc_id long, runs array<struct<start: int, n: int, digest: binary>>")
+    per = proven.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("found")).withColumnRenamed("doc_id", "f_id")
+    return docs.join(per, F.col("doc_id") == F.col("f_id"), "left").select("doc_id", "text", "found").mapInArrow(_remove(window, with_text), _KEPT)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import tiktoken
 from oracle import same
 from pyspark.sql import functions as F
 
-from lattis.llm import bpe, components, decontamination, licenses, minhash, quality, registry, secrets, sharding, substrings, tokencount, warc
+from lattis.llm import bpe, common, components, decontamination, licenses, minhash, quality, registry, secrets, sharding, substrings, tokencount, warc
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +60,44 @@ def test_substrings_shared_ids(spark):
     assert got == brute_substrings(rows)
 
 
+@pytest.mark.parametrize("window", [2, 3, 6])
+def test_substrings_graph(spark, monkeypatch, window):
+    """Many branches, circles and chains over several sources, with several hops, short blocks and short paths."""
+    for k, v in {"FAN": 2, "BUCKET_BYTES": 500, "BLOCK": 4, "CHUNK": 8 if window < 6 else 1000}.items():
+        monkeypatch.setattr(substrings, k, v)
+    rng, rows = random.Random(window), []
+    base = [f"v{i}" for i in range(12)] if window < 6 else [f"v{i}" for i in range(400)]
+    for d in range(60):
+        if window < 6:
+            w = [rng.choice(base) for _ in range(rng.randint(0, 60))]
+        else:  # passages that begin in one source and go on in another
+            a = rng.randrange(380)
+            w = ["x%d" % rng.randrange(9), *base[a : a + rng.randint(8, 60)], "y%d" % rng.randrange(9), *base[:9]]
+        rows.append((rng.randrange(10**6), " ".join(w + w[:5] * (d % 3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substrings.without_repeats(df, window, with_text=False).drop("kept_text").collect()), key=str)
+    assert got == brute_substrings(rows, window)
+    found = substrings.runs(substrings.claims(df, window)).cache()
+    compact = substrings.paths(df, found, window)
+    # each repeated edge lies on one path, at one place
+    at = [(r.path, r.off + k) for r in compact.collect() for k in range(r.end - r.q)]
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), set()).add(d)
+    assert len(at) == len(set(at)) == sum(len(d) > 1 for d in first.values())
+    if window == 6:
+        assert compact.groupBy("path").count().where("count > 2").count() > 0  # paths through several sources
+
+
+def test_substrings_circle(spark):
+    """Segments without a beginning fall apart; chains end at their first segment."""
+    links = [(i, 0, i - 1, 0, 2) for i in range(1, 9)] + [(20, 0, 22, 0, 1), (21, 0, 20, 0, 1), (22, 0, 21, 0, 1)]
+    got = substrings.heads(spark.createDataFrame(links, "src long, q int, up_src long, up_q int, dist long")).collect()
+    assert sorted((r.src, r.up_src, r.dist) for r in got) == [(i, 0, 2 * i) for i in range(1, 9)]
+
+
 # near duplicates
 
 
@@ -111,6 +149,23 @@ def test_chain_of_near_copies(spark):
     assert got == want and 1 < len(set(want.values())) < 60
 
 
+def test_near_duplicates_shared_ids_and_blocks(spark, monkeypatch):
+    """Rows that share a doc_id but not their text are one node; buckets of many blocks and of hot keys lose no link."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(minhash, "NARROW_ROWS", 40)
+    monkeypatch.setattr(common, "HOT_ROWS", 6)
+    rng, rows = random.Random(5), []
+    for k in range(150):  # two families whose smallest document is far from most others, copies of one text, and shared ids
+        w = [f"{'ab'[k % 2]}{i}" for i in range(100)]
+        for _ in range(rng.randint(0, 4) if k > 1 else 9):
+            w[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + i, "the same text of seven words here") for i in range(40)] + [(3, "the same text of seven words here"), (4, ""), (400, ""), (401, None), (5, rows[8][1])]
+    want, _ = brute_components(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got) and len(set(want.values())) > 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
