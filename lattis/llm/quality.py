@@ -1,16 +1,18 @@
 """Quality rules with adaptive thresholds (DataFrame and SQL functions only).
 
-Every document gets integer measures. For each language and source the measures are gathered in mergeable
-quantile sketches: log-linear histograms (exact below 32, then 16 bins a power of two), which merge by adding
-counts. A document is rejected when a base rule fails or a measure lies beyond the fence of its group,
-``median + spread * (p90 - median) + slack``, where p90 - median is at most that of its language and of the whole
-corpus: a group with much junk can't raise its own fence. Groups with fewer than ``least`` rows take the sketch merged
-over their language, and small languages the sketch of the whole corpus. ORACLE still has the fence without this bound
-(see the README).
-
-Defined results: null or empty text has no words, fails the base rule and joins no sketch; null language or
-source is a group of its own; repeated rows are judged one by one; an empty table gives no rows; other
-columns of the input are ignored.
+Every document gets integer measures: symbols and repeated words per 1000 words, repeated lines per 1000 lines, and letters per 100
+words. One symbol, one repeated line or one repeated passage of up to WINDOW + 4 words isn't a pattern and doesn't count. For each
+language and source the measures are gathered in mergeable quantile sketches: log-linear histograms (exact below 32, then 16 bins a
+power of two), which merge by adding counts. A document is rejected when a base rule fails or a measure lies beyond the fence of
+its group, ``median + spread * width``. The width is the larger of ``median - p10``, which junk above the median can't move, and
+``p90 - median``, which is at most that of the language and of the whole corpus. There is no fixed part: where nearly all documents
+of a group measure 0 the fence is 0, where a kind of text usually has more its fence is higher. Groups with fewer than ``least``
+rows take the sketch merged over their language, and small languages the sketch of the whole corpus. More junk than clean text in a
+group moves its median.
+
+Defined results: null or empty text has no words, fails the base rule and joins no sketch; texts of any length are measured whole; a
+measure equal to the fence is kept; null language or source is a group of its own; repeated rows are judged one by one; an empty
+table gives no rows; other columns of the input, whatever their names, are ignored (the stage returns them).
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sql_words, stored, table
+from .common import fresh, sql_words, stored, table
 
-#: measure: numerator, denominator, slack
+WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
+#: measure: numerator, denominator
 MEASURES = {
-    "symbols": ("1000 * n_symbols", "n_words", 100),
-    "dup_lines": ("1000 * n_dup_lines", "n_lines", 350),
-    "repeats": ("1000 * n_repeat_words", "n_words", 100),
-    "word_length": ("100 * word_chars", "n_words", 200),
+    "symbols": ("1000 * greatest(n_symbols - 1, 0)", "n_words"),
+    "dup_lines": ("1000 * greatest(n_dup_lines - 1, 0)", "n_lines"),
+    "repeats": (f"1000 * greatest(n_repeat_words - 2 * ({WINDOW} + 4), 0)", "n_words"),
+    "word_length": ("100 * word_chars", "n_words"),
 }
-WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 LEAST_ROWS, SPREAD = 50, 4
 
 
@@ -64,7 +66,7 @@ def _bin(v: str) -> str:
 
 def thresholds(m: DataFrame, least: int = LEAST_ROWS, spread: int = SPREAD) -> DataFrame:
     """The fences of each lang and source: one row (lang, source, f_<measure>...)."""
-    cells = ", ".join(f"struct('{k}' as measure, {_bin(f'({a} div {b})')} as bin)" for k, (a, b, _) in MEASURES.items())
+    cells = ", ".join(f"struct('{k}' as measure, {_bin(f'({a} div {b})')} as bin)" for k, (a, b) in MEASURES.items())
     cells = m.where("n_words > 0").select("lang", "source", F.expr(f"inline(array({cells}))"))
     leaf = cells.groupBy("lang", "source", "measure", "bin").count()
     # sketches merge by adding counts: a language from its sources, the corpus from its languages
@@ -74,18 +76,15 @@ def thresholds(m: DataFrame, least: int = LEAST_ROWS, spread: int = SPREAD) -> D
     def fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
         by = ", ".join([*keys, "measure"])
         run = sketch.selectExpr("*", f"sum(count) over (partition by {by} order by bin) as run", f"sum(count) over (partition by {by}) as n")
-        q = run.groupBy(*keys, "measure").agg(
-            F.max("n").alias("n"),
-            F.min(F.expr("if(run * 2 >= n, bin, null)")).alias("mid"), F.min(F.expr("if(run * 10 >= n * 9, bin, null)")).alias("high"),
-        )
-        slack = "case measure " + " ".join(f"when '{k}' then {s}" for k, (_, _, s) in MEASURES.items()) + " end"
-        q = q.selectExpr(*keys, "measure", "n", f"mid + {slack} as mid", "high - mid as wide")
-        one = [F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"{tag}_{k}{end}") for k in MEASURES for c, end in (("mid", ""), ("wide", "_wide"))]
+        quantile = [F.min(F.expr(f"if(run * 10 >= n * {tenths}, bin, null)")).alias(name) for name, tenths in (("low", 1), ("mid", 5), ("high", 9))]
+        q = run.groupBy(*keys, "measure").agg(F.max("n").alias("n"), *quantile).selectExpr(*keys, "measure", "n", "mid", "mid - low as under", "high - mid as over")
+        one = [F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"{tag}_{k}_{c}") for k in MEASURES for c in ("mid", "under", "over")]
         return q.groupBy(*keys).agg(F.max("n").alias(f"{tag}_n"), *one)
 
     def fence(k: str, tags: str) -> str:
-        # the wider sketches bound the spread, so junk in one group can't raise its own fence
-        return f"{tags[0]}_{k} + {spread} * " + (f"least({', '.join(f'{t}_{k}_wide' for t in tags)})" if len(tags) > 1 else f"{tags}_{k}_wide")
+        # the wider sketches bound the upper width, so junk in one group can't raise its own fence
+        over = f"least({', '.join(f'{t}_{k}_over' for t in tags)})" if len(tags) > 1 else f"{tags}_{k}_over"
+        return f"{tags[0]}_{k}_mid + {spread} * greatest({tags[0]}_{k}_under, {over})"
 
     out = fences(leaf, ["lang", "source"], "s")
     langs = fences(lang, ["lang"], "l").withColumnRenamed("lang", "l_lang")
@@ -99,7 +98,7 @@ def judge(docs: DataFrame, least: int = LEAST_ROWS, spread: int = SPREAD) -> Dat
     m = stored(measures(docs))
     t = thresholds(m, least, spread)
     j = m.join(t, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    bad = " or ".join(f"coalesce({a} div nullif({b}, 0) > f_{k}, false)" for k, (a, b, _) in MEASURES.items())
+    bad = " or ".join(f"coalesce({a} div nullif({b}, 0) > f_{k}, false)" for k, (a, b) in MEASURES.items())
     j = j.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
     return j.withColumn("kept", F.expr(f"not base_failed and not ({bad})")).drop("g_lang", "g_source", *[f"f_{k}" for k in MEASURES])
 
@@ -110,20 +109,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    good = judge(docs).where("kept").select(F.col("row_id").alias("good_row"), F.col("doc_id").alias("good_id")).distinct()
+    row, key = fresh(docs, "good_row"), fresh(docs, "good_id")
+    good = judge(docs).where("kept").select(F.col("row_id").alias(row), F.col("doc_id").alias(key)).distinct()
     mine = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
-    return docs.join(good, (mine == F.col("good_row")) & F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi")
+    return docs.join(good, (mine == F.col(row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
 
 
 _DUCK_BIN = "CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END"
-_SLACK = " ".join(f"WHEN '{k}' THEN {s}" for k, (_, _, s) in MEASURES.items())
 
 
 def _duck_fences(src: str, keys: str) -> str:
     part = f"{keys}, measure" if keys else "measure"
-    return f"""SELECT {part}, max(n) AS n, min(bin) FILTER (run * 2 >= n) + {SPREAD} * (min(bin) FILTER (run * 10 >= n * 9) - min(bin) FILTER (run * 2 >= n))
-      + CASE measure {_SLACK} END AS fence
-    FROM (SELECT *, sum(c) OVER (PARTITION BY {part} ORDER BY bin) AS run, sum(c) OVER (PARTITION BY {part}) AS n FROM {src}) GROUP BY {part}"""
+    return f"""SELECT {part}, n, mid, mid - low AS under, high - mid AS over FROM (SELECT {part}, max(n) AS n, min(bin) FILTER (run * 10 >= n) AS low,
+      min(bin) FILTER (run * 10 >= n * 5) AS mid, min(bin) FILTER (run * 10 >= n * 9) AS high
+      FROM (SELECT *, sum(c) OVER (PARTITION BY {part} ORDER BY bin) AS run, sum(c) OVER (PARTITION BY {part}) AS n FROM {src}) GROUP BY {part})"""
 
 
 ORACLE = f"""
@@ -135,12 +134,13 @@ m AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST
     CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda z: regexp_matches(z, '[^\\x20\\x09-\\x0D]')) AS l FROM w) w LEFT JOIN r USING (doc_id)),
-cells AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, CAST({a} AS BIGINT) // {b} AS v FROM m WHERE n_words > 0" for k, (a, b, _) in MEASURES.items())}),
+cells AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, CAST({a} AS BIGINT) // {b} AS v FROM m WHERE n_words > 0" for k, (a, b) in MEASURES.items())}),
 leaf AS (SELECT lang, source, measure, {_DUCK_BIN} AS bin, count(*) AS c FROM cells GROUP BY ALL),
 lg AS (SELECT lang, measure, bin, sum(c) AS c FROM leaf GROUP BY ALL),
 ev AS (SELECT measure, bin, sum(c) AS c FROM lg GROUP BY ALL),
 fs AS ({_duck_fences("leaf", "lang, source")}), fl AS ({_duck_fences("lg", "lang")}), fe AS ({_duck_fences("ev", "")}),
-bad AS (SELECT c.doc_id, bool_or(v > CASE WHEN fs.n >= {LEAST_ROWS} THEN fs.fence WHEN fl.n >= {LEAST_ROWS} THEN fl.fence ELSE fe.fence END) AS bad
+bad AS (SELECT c.doc_id, bool_or(v > CASE WHEN fs.n >= {LEAST_ROWS} THEN fs.mid + {SPREAD} * greatest(fs.under, least(fs.over, fl.over, fe.over))
+    WHEN fl.n >= {LEAST_ROWS} THEN fl.mid + {SPREAD} * greatest(fl.under, least(fl.over, fe.over)) ELSE fe.mid + {SPREAD} * greatest(fe.under, fe.over) END) AS bad
   FROM cells c JOIN fs ON c.measure = fs.measure AND c.lang IS NOT DISTINCT FROM fs.lang AND c.source IS NOT DISTINCT FROM fs.source
   JOIN fl ON c.measure = fl.measure AND c.lang IS NOT DISTINCT FROM fl.lang JOIN fe ON c.measure = fe.measure GROUP BY c.doc_id),
 b AS (SELECT m.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)

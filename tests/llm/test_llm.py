@@ -196,6 +196,15 @@ def test_quality_junk_in_group(spark, percent):
     assert len(got) == len(rows) and all(r.kept == (r.n_symbols == 0) for r in got)
 
 
+def test_quality_fence_of_a_source(spark):
+    """A source whose texts usually have symbols keeps them, and rejects what is beyond its own spread; others reject the same texts."""
+    text = lambda n: " ".join(f"{i:03}{'#' if i < n else 'w'}" for i in range(100))
+    rows = [(i, text(10 + i % 11), "en", "code") for i in range(80)] + [(100 + i, text(0), "en", "prose") for i in range(400)] + [(600, text(90), "en", "code"), (601, text(12), "en", "prose"), (602, text(1), "en", "prose")]
+    rows += [(700 + i, text(0) + "\n" + "x y z\n" * (2 + i), "en", "prose") for i in range(2)]  # one repeated line, and two
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sorted(d for d, kept in got.items() if not kept) == [600, 601, 701]
+
+
 # secrets
 
 
