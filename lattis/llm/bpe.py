@@ -5,11 +5,11 @@ The last token of an encoded prefix ending at byte i is the one token t that end
 it and t stay two tokens when their bytes are merged together. These pair tests are the only place where ranks are
 compared; they are memoised.
 
-Transducer. A state holds the bytes since the last settled token, and for every live position (one from which a token
-could still grow) the last token that ends there. Reading a byte finds the new last token, drops positions from which no
-token can grow, and emits the tokens that all live positions share. So lookahead is bounded by the longest token. States
-and transitions are built when inputs first need them, one for each input that leaves the known ones early; the rest of
-such an input runs undeterminised, depth first from the last settled token. The tables have fixed sizes.
+Transducer. A state holds every live position (one from which a token could still grow): its node in the trie of tokens, and the
+chain of tokens that ends there, from the last one that all live positions share. Reading a byte finds the new last token, drops
+positions from which no token can grow, and emits the tokens that all live positions share. So lookahead is bounded by the longest
+token. A shared token that no pair test can ask for any more is forgotten, which merges states. States and transitions are built when
+inputs first need them, and kept in flat tables by number; every input goes through them byte by byte. The tables have fixed sizes.
 
 Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, which holds back incomplete characters between
 chunks.
@@ -17,14 +17,15 @@ chunks.
 Texts are split by the given pattern first. Cuts at single spaces between other characters never lie within a match, so
 the pieces between such cuts are encoded one by one and remembered in a table of bounded size.
 
-Defined results: null text counts as empty and has no tokens; repeated rows are encoded one by one; an empty table gives
-no rows; other columns are ignored.
+Defined results: null text counts as empty and has no tokens; texts of any length are encoded whole; of pairs of one rank the leftmost
+merges first; repeated rows are encoded one by one; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -39,10 +40,8 @@ from .common import held, ids_and_text, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Entries of the tables that are emptied when full.
-MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 20_000, 250_000, 300_000, 700_000
-#: An input that leaves the known states within so many bytes adds one.
-DEPTH = 4
+#: Entries of the tables.
+MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 200_000, 250_000, 100_000, 700_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,16 +60,6 @@ def merged(ranks: dict[bytes, int], data: bytes, to: int = 1) -> list[bytes]:
     return parts
 
 
-class _State:
-    """tail: the bytes since the last settled token. live: for each position of tail from which a token could grow, the chain of
-    tokens that ends there, which begins with the last settled token (-1 at the start)."""
-
-    __slots__ = ("live", "next", "tail")
-
-    def __init__(self, tail: bytes, live: tuple):
-        self.tail, self.live, self.next = tail, live, {}
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
@@ -79,28 +68,30 @@ class Transducer:
             two = merged(ranks, b, 2) if len(b) > 1 else [b, b]
             if len(two) == 2:
                 good[b], self.halves[i] = i, (ranks[two[0]], ranks[two[1]])
-        #: a trie of the usable tokens; a node is [token or -1, children by byte]
-        self.trie: list = [-1, {}]
+        #: a trie of the usable tokens: children by byte, and the token that ends at a node (-1 if none)
+        self.kids, self.token = [{}], [-1]
         for b, i in good.items():
-            node = self.trie
+            node = 0
             for c in b:
-                node = node[1].setdefault(c, [-1, {}])
-            node[0] = i
-        #: the longest usable token that a token begins with, other than itself; -1 if none
-        self.shorter = {i: next((good[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in good), -1) for b, i in good.items()}
+                if (to := self.kids[node].get(c)) is None:
+                    to = self.kids[node][c] = len(self.kids)
+                    self.kids.append({})
+                    self.token.append(-1)
+                node = to
+            self.token[node] = i
         self._pairs: dict[int, bool] = {}  # by (left + 1) << 20 | right, left -1 for the start
         self._words: dict[bytes, tuple[int, ...]] = {}
+        #: bytes read, and transitions built for them
+        self.read = self.built = 0
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(b"", ((0, (-1,)),))
-
-    def _state(self, tail: bytes, live: tuple) -> _State:
-        key = (tail, live)
-        if (s := self.states.get(key)) is None:
-            s = self.states[key] = _State(tail, live)
-        return s
+        """Only the start: state 0. live: ((node, chain), ...) of each state; final: the tokens that are left if the input ends there."""
+        self.live: list[tuple] = [((0, (-1,)),)]
+        self.final: list[tuple[int, ...]] = [()]
+        self.number = {self.live[0]: 0}
+        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte: the new state and what is emitted
+        self.passing = 0  # states that found the tables full
 
     def stay_apart(self, left: int, right: int) -> bool:
         key = (left + 1) << 20 | right
@@ -127,92 +118,72 @@ class Transducer:
             else:
                 return True
 
-    def _at(self, data: bytes) -> list | None:
-        node = self.trie
-        for c in data:
-            if (node := node[1].get(c)) is None:
-                return None
-        return node
-
-    def step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        """The transition of a state on a byte: the new state and the tokens that are certain now."""
-        tail, here, live = state.tail + bytes((byte,)), None, []
-        for j, path in state.live:
-            if (node := self._at(tail[j:])) is not None:
-                if here is None and node[0] >= 0 and self.stay_apart(path[-1], node[0]):
-                    here = (*path, node[0])
-                if node[1]:
-                    live.append((j, path))
+    def step(self, live_: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The transition of a state on a byte: the new state's live positions and the tokens that are certain now."""
+        kids, token, pairs, here, live = self.kids, self.token, self._pairs, None, []
+        for node, chain_ in live_:
+            if (to := kids[node].get(byte)) is not None:
+                if here is None and (t := token[to]) >= 0:
+                    ok = pairs.get((chain_[-1] + 1) << 20 | t)
+                    if ok or ok is None and self.stay_apart(chain_[-1], t):
+                        here = (*chain_, t)
+                if kids[to]:
+                    live.append((to, chain_))
         if here is None:
             raise ValueError("no token ends here: the ranks lack a byte")
-        live.append((len(tail), here))
+        live.append((0, here))
         # tokens that all live chains share are settled; the first is settled already
-        paths = [x for _, x in live]
-        n, least = 1, min(map(len, paths))
-        while n < least and all(x[n] == here[n] for x in paths):
+        n, least = 1, min(len(c) for _, c in live)
+        while n < least and all(c[n] == here[n] for _, c in live):
             n += 1
-        if n == 1:
-            return self._state(tail, tuple(live)), ()
         sure = here[1:n]
-        shift = sum(len(self.bytes_of[t]) for t in sure)
-        return self._state(tail[shift:], tuple((j - shift, x[n - 1 :]) for j, x in live)), sure
-
-    def _run(self, settled: int, data: bytes) -> list[int]:
-        """The tokens of data after a settled token. It follows the transducer's paths without building states: the longest
-        token first, back from positions where none fits. Only one chain of tokens leads to a position, so one that failed stays
-        closed."""
-        root, pairs, shorter, bytes_of, n = self.trie[1], self._pairs, self.shorter, self.bytes_of, len(data)
-        out: list[int] = []
-        closed, at, left = set(), 0, settled
-        while at < n:
-            kids, token, i = root, -1, at
-            while i < n and (node := kids.get(data[i])) is not None:
-                i += 1
-                kids = node[1]
-                if node[0] >= 0:
-                    token, end = node[0], i
-            if token < 0:
-                raise ValueError("no token ends here: the ranks lack a byte")
-            while True:
-                while token >= 0:
-                    if not closed or end not in closed:
-                        ok = pairs.get((left + 1) << 20 | token)
-                        if ok or ok is None and self.stay_apart(left, token):
-                            break
-                    token = shorter[token]
-                    end = at + len(bytes_of[token]) if token >= 0 else at
-                else:
-                    closed.add(at)
-                    if not out:
-                        raise ValueError("no token ends here: the ranks lack a byte")
-                    token = out.pop()
-                    end, at = at, at - len(bytes_of[token])
-                    left = out[-1] if out else settled
-                    continue
-                break
-            out.append(token)
-            left, at = token, end
-        return out
+        if sure:
+            live = [(node, c[n - 1 :]) for node, c in live]
+        if live[0][1][0] >= 0 and all(len(c) > 1 for _, c in live):  # no token can begin right behind the settled one any more
+            live = [(node, (-2, *c[1:])) for node, c in live]
+        return tuple(live), sure
+
+    def rest(self, state: int, data: bytes, ids: list[int]) -> tuple[int, ...]:
+        """Reads data, beginning with a transition that isn't known. What is met first is kept; when the tables are full, further states
+        last for one input, and too many of them empty the tables."""
+        live = self.live[state]
+        for byte in data:
+            if state >= 0 and (go := self.next.get(state << 8 | byte)) is not None:
+                state, sure = go
+                live = self.live[state]
+            else:
+                live, sure = self.step(live, byte)
+                self.built += 1
+                to = self.number.get(live, -1)
+                if to < 0 and len(self.live) < MOST_STATES:
+                    to = self.number[live] = len(self.live)
+                    self.live.append(live)
+                    self.final.append(live[-1][1][1:])
+                if to < 0:
+                    self.passing += 1
+                elif state >= 0 and len(self.next) < 2 * MOST_STATES:
+                    self.next[state << 8 | byte] = to, sure
+                state = to
+            ids += sure
+        ids += live[-1][1][1:]
+        if self.passing > 4 * MOST_STATES:
+            self._reset()
+        return tuple(ids)
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """The tokens of one match of the pattern."""
         if (out := self._words.get(data)) is not None:
             return out
-        if len(self.states) >= MOST_STATES:
-            self._reset()
-        state, ids, i = self.start, [], 0
-        while i < len(data) and (go := state.next.get(data[i])) is not None:
-            state, sure = go
-            ids += sure
-            i += 1
-        if i < len(data) and i >= DEPTH:
-            out = (*ids, *self._run(state.live[0][1][0], data[i - len(state.tail) :]))
-        elif i < len(data):  # a transition that is not known yet: it is built, and the rest runs undeterminised
-            state.next[data[i]] = go = self.step(state, data[i])
-            ids += go[1]
-            out = (*ids, *self._run(go[0].live[0][1][0], data[i + 1 - len(go[0].tail) :]))
-        else:
-            out = (*ids, *state.live[-1][1][1:])
+        state, ids, known = 0, [], self.next
+        self.read += len(data)
+        try:
+            for at, byte in enumerate(data):
+                state, sure = known[state << 8 | byte]
+                if sure:
+                    ids += sure
+            out = (*ids, *self.final[state])
+        except KeyError:
+            out = self.rest(state, data[at:], ids)
         if len(data) <= 64:
             if len(self._words) >= MOST_WORDS:
                 self._words.clear()
@@ -220,44 +191,50 @@ class Transducer:
         return out
 
 
-class _Pieces(dict):
-    """The ids of pieces, by their text after the leading space; missing ones are encoded. When it is full, its entries become the
-    old generation: those that are met again come back, the others go with the next."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = self.old.pop(text, None) or self.encode(" " + text)
-        if len(text) <= 64:
-            if len(self) >= MOST_PIECES // 2:
-                self.old = dict(self)
-                self.clear()
-            self[text] = ids
-        return ids
-
-
 class Tokenizer:
-    """Encodes whole texts; holds the transducer and the table of pieces."""
+    """Encodes whole texts. Holds the transducer and a table of the ids of pieces, by their text after the leading space. When it is full,
+    its entries become the old generation: those that are met again come back, the others go with the next."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.fst, self.split = Transducer(read_ranks(path)), regex.compile(pattern)
-        self.pieces = _Pieces(self._whole)
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        gc.freeze()  # the trie stays; without this every full collection walks it
 
-    def _whole(self, text: str) -> tuple[int, ...]:
+    def whole(self, text: str) -> tuple[int, ...]:
+        """The ids of a text that begins and ends where matches do."""
         encode, found = self.fst.encode, self.split.findall(text)
         if len(found) == 1:
             return encode(found[0].encode("utf-8", "surrogatepass"))
         return tuple(chain.from_iterable([encode(m.encode("utf-8", "surrogatepass")) for m in found]))
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """The ids of one piece as cut, with its leading space."""
-        return self.pieces[text[1:]] if text[:1] == " " and text[1:2].strip() else self._whole(text)
+    def missed(self, text: str) -> tuple[int, ...]:
+        """The ids of a piece that the table lacks, or lacked a moment ago."""
+        if (ids := self.pieces.get(text)) is None:
+            ids = self.old.pop(text, None) or self.whole(" " + text)
+            if len(text) <= 64:
+                if len(self.pieces) >= MOST_PIECES // 2:
+                    self.old, self.pieces = self.pieces, {}
+                self.pieces[text] = ids
+        return ids
 
-    def encode(self, text: str) -> list[int]:
+    def cut(self, text: str) -> tuple[str, list[str]]:
+        """The first piece, and the others without the space that each begins with."""
         first, *rest = _CUT.split(text)
-        return list(chain(self.piece(first), chain.from_iterable(map(self.pieces.__getitem__, rest))))
+        return first, rest
+
+    def ids(self, rest: list[str]) -> list[tuple[int, ...]]:
+        """The ids of pieces as cut."""
+        out = list(map(self.pieces.get, rest))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self.missed(rest[at])
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        first, rest = self.cut(text)
+        return list(chain(self.whole(first), chain.from_iterable(self.ids(rest))))
 
 
 class Decoder:

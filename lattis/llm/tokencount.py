@@ -1,12 +1,18 @@
 """Edit-aware token counts.
 
-A document's text is cut at places that no pre-token crosses. The pieces lie in the leaves of a segment tree whose nodes
-sum characters and tokens. An edit (start, end, new text; code points, clipped to the text) descends by
-characters, re-encodes the pieces it touches and one on either side, and updates the sums above the changed leaves. All
-other pieces keep their counts. Counts are those of the byte-level BPE of bpe.py over the new text.
+A document's text is cut into pieces of whole pre-tokens. The pieces lie in the leaves of a segment tree whose nodes sum characters
+and tokens. An edit (start, end, new text; code points, clipped to the text) descends by characters and re-encodes from a piece
+before it, far enough that no earlier pre-token has seen the edit, to the first piece behind it where the pre-tokens meet the old ones
+again; it updates the sums above the changed leaves. All other pieces keep their counts. A leaf that has grown too full is split, by
+building the tree anew from its pieces' counts. Counts are those of the byte-level BPE of bpe.py over the new text, for patterns
+whose matches depend on nothing behind the next run of white space and CONTEXT characters more.
+
+``with_trees`` counts whole texts and packs each tree into a few bytes; ``edited`` unpacks it and applies edits.
 
 Defined results: null text counts as empty; a null list of edits is no edit, a null replacement is empty; edits apply in
-order, each to the text that the ones before it left; repeated rows are counted one by one; an empty table gives no rows.
+order, each to the text that the ones before it left; texts of any length are held whole; repeated rows are counted one by one; an
+empty table gives no rows; other columns are kept by with_trees, whose own are named n_tokens and tree, lengthened by underscores
+where docs has such columns, and ignored by edited.
 """
 
 from __future__ import annotations
@@ -17,18 +23,30 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .bpe import _CUT, RANKS, Tokenizer, tokenizer
-from .common import table
+from .bpe import RANKS, Tokenizer, tokenizer
+from .common import fresh as fresh_name
+from .common import stored, table
 
-LEAF = 32
+#: Pieces of a leaf, of a leaf that is split, characters of a piece of several pre-tokens, and characters behind which nothing is seen.
+LEAF, FULL, PIECE, CONTEXT = 32, 128, 32, 4
 
 
-def cut(text: str) -> list[str]:
-    first, *rest = _CUT.split(text)
-    return [first, *(" " + x for x in rest)] if first or rest else []
+def pieces(text: str, t: Tokenizer) -> list[tuple[int, int]]:
+    """(characters, tokens) of the pieces of a text that begins where a pre-token does."""
+    out, size, count = [], 0, 0
+    for m in t.split.findall(text):
+        size, count = size + len(m), count + len(t.fst.encode(m.encode("utf-8", "surrogatepass")))
+        if size >= PIECE:
+            out.append((size, count))
+            size = count = 0
+    if size:
+        out.append((size, count))
+    return out
 
 
 class CountTree:
@@ -99,36 +117,71 @@ class CountTree:
             k = 0 if by > 0 else len(self.leaf(leaf)) - 1
         return leaf, k
 
+    def _set(self, new: CountTree) -> None:
+        self.__dict__.update(new.__dict__ | {"encoded": self.encoded})
+
     def edit(self, start: int, end: int, new: str, t: Tokenizer) -> None:
         n = self.chars[1]
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
         if not n:
-            pieces = cut(new)
-            self.encoded += len(pieces)
-            self.__dict__.update(CountTree(new, *measured(new, t)).__dict__ | {"encoded": self.encoded})
+            sizes, counts = measured(new, t)
+            self.encoded += len(sizes)
+            self._set(CountTree(new, sizes, counts))
             return
+        # back to a boundary whose pre-tokens have not seen the edit
         leaf, k, at = self.find(start)
-        if before := self._step(leaf, k, -1):
-            leaf, k = before
+        before = self.leaf(leaf)[k][0][: start - at]
+        while at and len(before.lstrip()) < CONTEXT:
+            leaf, k = self._step(leaf, k, -1)
+            before = self.leaf(leaf)[k][0] + before
             at -= len(self.leaf(leaf)[k][0])
-        last, j, _ = self.find(end)
-        last, j = self._step(last, j, 1) or (last, j)
-        touched = [p for x in range(leaf, last + 1) for p, _ in self.leaf(x)[k if x == leaf else 0 : j + 1 if x == last else None]]
-        old = "".join(touched)
-        pieces = cut(old[: start - at] + new + old[end - at :])
-        self.encoded += len(pieces)
-        fresh = [(p, len(t.piece(p))) for p in pieces]
+        # on to a boundary of both the old pieces and the new pre-tokens, with as much behind it
+        last, j, begin = self.find(end)
+        behind, ends, more = self.leaf(last)[j][0][end - begin :], {}, 1
+        ends[len(behind)] = (last, j)
+        to = (last, j)
+        while True:
+            for _ in range(more):
+                if (then := self._step(*to, 1)) is None:
+                    break
+                to = then
+                behind += self.leaf(to[0])[to[1]][0]
+                ends[len(behind)] = to
+            more *= 2
+            whole, done = self._step(*to, 1) is None, len(before) + len(new)
+            fresh, size, cut = [], 0, None
+            for m in t.split.finditer(before + new + behind):
+                size = m.end()
+                place = size - done
+                if place in ends and (whole and place == len(behind) or len(behind[place:].lstrip()) >= CONTEXT):
+                    cut = place
+                    break
+            if cut is None and whole and not size:  # nothing is left
+                cut = len(behind)
+            if cut is not None:
+                break
+        last, j = ends[cut]
+        string, at = before + new + behind[:cut], 0
+        fresh = []
+        for size, count in pieces(string, t):
+            fresh.append((string[at : at + size], count))
+            at += size
+        self.encoded += len(fresh)
         if leaf == last:
-            self.touched[leaf][k : j + 1] = fresh
+            self.leaf(leaf)[k : j + 1] = fresh
             self.update(leaf)
         else:
-            self.touched[leaf][k:] = fresh
-            self.touched[last][: j + 1] = []
+            self.leaf(leaf)[k:] = fresh
+            self.leaf(last)[: j + 1] = []
             for x in range(leaf + 1, last):
                 self.touched[x] = []
             for x in range(leaf, last + 1):
                 self.update(x)
+        if len(self.touched[leaf]) > FULL:
+            rows = [(len(p), c) for i in range(self.n_leaves) for p, c in self.leaf(i)]
+            sizes, counts = np.array(rows, np.int64).reshape(-1, 2).T
+            self._set(CountTree(self.text(), sizes, counts))
 
     def text(self) -> str:
         return "".join("".join(p for p, _ in self.touched[i]) if i in self.touched else self._text[self._starts[i] : self._starts[i + 1]] for i in range(self.n_leaves))
@@ -139,48 +192,60 @@ class CountTree:
 
 
 def measured(text: str, t: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and tokens of each piece of a text."""
+    """Characters and tokens of each piece of a text. Cuts at single spaces are boundaries of pre-tokens; longer stretches without one
+    are cut into pieces() of their own."""
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, *rest = _CUT.split(text)
-    return np.array([len(first) - 1, *map(len, rest)], np.int64) + 1, np.array([len(t.piece(first)), *map(len, map(t.pieces.__getitem__, rest))], np.int64)
+    first, rest = t.cut(text)
+    sizes, counts = [len(first), *(len(p) + 1 for p in rest)], [len(t.whole(first)) if len(first) <= 2 * PIECE else 0, *map(len, t.ids(rest))]
+    if max(sizes) > 2 * PIECE:
+        cut = [p for k, (n, c) in enumerate(zip(sizes, counts, strict=True)) for p in ([(n, c)] if n <= 2 * PIECE else pieces(" " + rest[k - 1] if k else first, t))]
+        sizes, counts = zip(*cut, strict=True)
+    return np.array(sizes, np.int64)[(keep := np.array(sizes) > 0)], np.array(counts, np.int64)[keep]
+
+
+_BYTES = zstandard.ZstdCompressor(level=1)
 
 
 def pack(sizes: np.ndarray, counts: np.ndarray) -> bytes:
-    return np.array([sizes, counts], np.uint32).tobytes()
+    """The leaves of a tree: two whole numbers a piece, a byte each where that is enough."""
+    both = np.array([sizes, counts])
+    kind = np.uint8 if both.size == 0 or both.max() < 256 else np.uint32
+    return bytes((np.dtype(kind).itemsize,)) + _BYTES.compress(both.astype(kind).tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(blob, np.uint32).reshape(2, -1).astype(np.int64))
+    kind = {1: np.uint8, 4: np.uint32}[blob[0]]
+    return tuple(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), kind).reshape(2, -1).astype(np.int64))
 
 
-def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text and others) with n_tokens and tree, the packed leaves."""
+def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with two more columns, the last ones: n_tokens, and tree, the packed leaves."""
     path = path or public_tokenizers.path(RANKS)
-    docs = docs.drop("n_tokens", "tree")
+    names = [fresh_name(docs, "n_tokens"), fresh_name(docs, "tree")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
             total, trees = [], []
-            for v in b.column("text"):
+            for v in b.column(text_col):
                 sizes, counts = measured(v.as_py() or "", t)
                 total.append(int(counts.sum()))
                 trees.append(pack(sizes, counts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, *names])
 
-    kinds = ", ".join([*(f"`{c}` {k}" for c, k in docs.dtypes), "n_tokens long, tree binary"])
+    kinds = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], BinaryType())])
     return docs.mapInArrow(run, kinds)
 
 
 _EDITED = "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long, edited_sha256 string, text string, tree binary"
 
 
-def edited(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
-    """docs with doc_id, text, edits (array of start, end, new) and, if kept from before, n_tokens and tree -> counts and trees
-    after the edits. Trees that aren't given are built in the same pass."""
+def edited(docs: DataFrame, path: str | None = None, keep: bool = True, tree_col: str | None = None) -> DataFrame:
+    """docs with doc_id, text, edits (array of start, end, new) and the tree kept in tree_col -> counts and trees after the edits.
+    Without tree_col, trees are built in the same pass."""
     path = path or public_tokenizers.path(RANKS)
-    kept = [c for c in ("n_tokens", "tree") if "tree" in docs.columns]
+    kept = [tree_col] if tree_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -188,7 +253,7 @@ def edited(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataF
             rows = []
             for d, text, edits, *old in zip(*(b.column(c) for c in ("doc_id", "text", "edits", *kept)), strict=True):
                 now = text.as_py() or ""
-                sizes, counts = unpack(old[1].as_py()) if old else measured(now, t)
+                sizes, counts = unpack(old[0].as_py()) if old else measured(now, t)
                 tree, n = CountTree(now, sizes, counts), int(counts.sum())
                 for e in edits.as_py() or []:
                     if e is not None and e["start"] is not None and e["end"] is not None:
@@ -199,7 +264,7 @@ def edited(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataF
             cols = zip(*rows, strict=True) if rows else ([],) * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _EDITED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits", *kept).mapInArrow(run, _EDITED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits", *kept).mapInArrow(run, _EDITED)
 
 
 #: The query's edits: a note in front, a word in the middle third replaced, the last characters cut.
@@ -209,5 +274,6 @@ EDITS = """array(struct(0 as start, 0 as end, 'Note 2024: ' as new),
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", F.expr(EDITS))
-    return edited(docs, keep=False).drop("text", "tree")
+    """The trees of all documents are built and stored; the edits then start from the stored trees."""
+    kept = stored(with_trees(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return edited(kept.withColumn("edits", F.expr(EDITS)), keep=False, tree_col="tree").drop("text", "tree")

@@ -272,23 +272,66 @@ def test_bpe(spark, sf, odd, empty, pair):
     assert "".join([*(d.feed([i]) for i in ids), d.feed([], True)]) == "é世🙂 " * 9
 
 
+def test_bpe_tables(spark, monkeypatch, pair):
+    """Full tables give the same tokens; on documents nine bytes in ten go through transitions that are there already."""
+    rows = [x or "" for _, x in texts(spark, "/root/testdata/sf0.01")]
+    for name, n in (("MOST_STATES", 300), ("MOST_PAIRS", 500), ("MOST_WORDS", 200), ("MOST_PIECES", 400)):
+        monkeypatch.setattr(bpe, name, n)
+    small = bpe.Tokenizer(public_tokenizers.path(bpe.RANKS))
+    for x in rows[:150]:
+        assert small.encode(x) == pair[1].encode_ordinary(x)
+    monkeypatch.undo()
+    t = bpe.Tokenizer(public_tokenizers.path(bpe.RANKS))
+    for part in (rows, rows[::-1]):
+        t.pieces, t.old, t.fst._words, t.fst.read, t.fst.built = {}, {}, {}, 0, 0
+        for x in part:
+            assert t.encode(x) == pair[1].encode_ordinary(x)
+    assert t.fst.built == 0 and t.fst.read > 300_000
+
+
 def test_token_counts(spark, odd, empty, pair):
     t, lib = pair
     rng = random.Random(4)
-    for text in ["", "a", " a  b ", "\n\n", "the quick brown fox " * 300]:
+    made = ["", " ", "x", "  ", "\n", "'s", " the quick", "a " * 100, "7", "   ", "é世", "\n\n\n", "'", "re", "!!", "1234567"]
+    for text in ["", "a", " a  b ", "\n\n", "the quick brown fox " * 300, "one\ntwo\nthree'll\n" * 400, "世界你好" * 900, "12" * 800, " \n" * 700, "x" * 3000, "?!" * 900, "ab 'cd' ef's  \n" * 200]:
         tree, now = tokencount.CountTree(text, *tokencount.measured(text, t)), text
-        for _ in range(12):
+        assert tree.tokens[1] == len(lib.encode_ordinary(text)) and tree.chars[1] == len(text)
+        for _ in range(25):
             a = rng.randint(0, len(now) + 2)
-            b, new = a + rng.choice([0, 1, 3, 50, 2000]), rng.choice(["", " ", "x", "  ", "\n", "'s", " the quick", "a " * 100])
+            b, new = a + rng.choice([0, 0, 1, 3, 50, 700]), "".join(rng.choice(made) for _ in range(rng.randint(0, 3)))
             tree.edit(a, b, new, t)
             now = now[:a] + new + now[max(b, a) :]
             assert tree.text() == now and tree.tokens[1] == len(lib.encode_ordinary(now))
         again = tokencount.CountTree(now, *tokencount.unpack(tree.pack()))
         assert again.tokens[1] == tree.tokens[1]
+    # texts without spaces have pieces too, leaves are split, and an edit re-encodes a few pieces
+    for text in ("one\ntwo\n" * 3000, "世界，你好。" * 3000):
+        tree = tokencount.CountTree(text, *tokencount.measured(text, t))
+        tree.edit(9000, 9001, "new", t)
+        assert tree.encoded < 12
+        for k in range(300):
+            tree.edit(9000, 9000, "five more words go in here. ", t)
+        assert max(map(len, tree.touched.values()), default=0) <= tokencount.FULL + 12 and tree.tokens[1] == len(lib.encode_ordinary(tree.text()))
     df = tokencount.with_trees(odd).withColumn("edits", F.expr(tokencount.EDITS))
-    for r in tokencount.edited(df).collect():
-        assert r.n_tokens_edited == len(lib.encode_ordinary(r.text)) and r.n_reencoded <= r.n_pieces + 12
+    for tree_col in ("tree", None):
+        for r in tokencount.edited(df, tree_col=tree_col).collect():
+            assert r.n_tokens_edited == len(lib.encode_ordinary(r.text)) and r.n_reencoded <= r.n_pieces + 12
     assert tokencount.with_trees(empty).count() == 0
+    twice = tokencount.with_trees(tokencount.with_trees(odd))
+    assert twice.columns[-4:] == ["n_tokens", "tree", "n_tokens_", "tree_"] and twice.where("n_tokens <> n_tokens_ or tree <> tree_").count() == 0
+    assert tokencount.edited(twice.withColumn("edits", F.expr(tokencount.EDITS)), tree_col="tree_").count() == odd.count()
+
+
+def test_token_counts_query(spark, sf, pair):
+    """The query's counts on documents, against the library over the edited text."""
+    rows = dict(texts(spark, sf))
+    for r in tokencount.op10_token_counts(spark, sf).collect():
+        x = rows[r.doc_id] or ""
+        new = "Note 2024: " + x
+        a = len(x) // 3
+        new = new[:a] + " edited text" + new[a + 16 :]
+        new = new[: max(0, len(x) - 2)] + new[max(0, len(x) - 2, len(x) + 40) :]
+        assert (r.n_tokens, r.n_tokens_edited, r.edited_sha256) == (len(pair[1].encode_ordinary(x)), len(pair[1].encode_ordinary(new)), hashlib.sha256(new.encode()).hexdigest())
 
 
 # decontamination
