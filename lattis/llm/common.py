@@ -90,6 +90,11 @@ def held(key: object = None, make: Callable | None = None):
     return _HELD.get(key)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ...: mapInArrow can't take names with dots or backticks."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names, whatever else docs holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

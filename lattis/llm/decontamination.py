@@ -6,29 +6,31 @@ and the starts that they imply lie within k of each other. An Aho-Corasick autom
 in whole texts; where enough of them agree they give stretches of text, overlapping ones of an item are merged, and Myers'
 bit-parallel distance verifies each stretch. Items under MIN_CHARS are found without edits and between word bounds.
 
-The items are read in blocks of bounded size, each block against all documents.
+The items are read in blocks of bounded size. One scan of the documents takes up to SCAN_BLOCKS of them, one automaton at a time over
+slabs of text, so a benchmark of any size is read in parts whose size is known before they are broadcast.
 
-Defined results: null or empty texts hit nothing; null items and items without a letter or digit are skipped;
-repeated items and rows hit one by one; empty tables give no rows; other columns are ignored.
+Defined results: null or empty texts hit nothing; texts of any length are read whole; null items and items without a letter or digit
+are skipped; of several places with equally few edits one is reported; repeated items and rows hit one by one; empty tables give no
+rows; other columns, whatever their names, are ignored (the stage returns them).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, table
+from .common import fresh, held, ids_and_text, table
 
 MIN_CHARS, PIECE, SHARE = 20, 8, 10
-#: Characters of items in one block.
-BLOCK_CHARS = 1 << 20
+#: Characters of items in one block, blocks of one scan, and bytes of text of a slab.
+BLOCK_CHARS, SCAN_BLOCKS, SLAB_BYTES = 1 << 20, 32, 32 << 20
 _OTHER = re.compile(r"[\W]+")
 
 
@@ -117,9 +119,16 @@ class Matcher:
         return out
 
 
-@lru_cache(maxsize=1)
-def _matcher(items: tuple) -> Matcher:
-    return Matcher(list(items))
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
+    rows, size = [], 0
+    for b in batches:
+        for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            rows.append((d, normal(t.as_py())))
+            size += len(rows[-1][1])
+            if size >= SLAB_BYTES:
+                yield rows
+                rows, size = [], 0
+    yield rows
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,22 +138,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
 
-    def one(block: int) -> DataFrame:
-        # about BLOCK_CHARS characters, whatever the benchmark's size
-        mine = spark.sparkContext.broadcast(tuple((r.item_id, normal(r.text)) for r in items.where(F.col("block") == block).orderBy("item_id", "text").toLocalIterator()))
+    def scan(first: int) -> DataFrame:
+        # about SCAN_BLOCKS * BLOCK_CHARS characters, whatever the benchmark's size
+        own: dict[int, list] = {b: [] for b in range(first, min(blocks, first + SCAN_BLOCKS))}
+        for r in items.where(F.col("block").between(min(own), max(own))).orderBy("item_id", "text").toLocalIterator():
+            own[r.block].append((r.item_id, normal(r.text)))
+        mine, tag = spark.sparkContext.broadcast(own), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = _matcher(mine.value)
-            for batch in batches:
-                rows = [(d, *h) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for h in m.hits(normal(t.as_py()))]
-                cols = zip(*rows, strict=True) if rows else ([],) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "item_chars"])
+            for rows in _slabs(batches):
+                for b, listed in mine.value.items():
+                    m = held((tag, b), lambda listed=listed: Matcher(listed))
+                    found = [(d, *h) for d, t in rows for h in m.hits(t)]
+                    cols = zip(*found, strict=True) if found else ([],) * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "item_chars"])
 
         return docs.mapInArrow(run, "doc_id long, item_id long, edits long, item_chars long")
 
-    out = one(0)
-    for b in range(1, blocks):
-        out = out.union(one(b))
+    out = scan(0)
+    for b in range(SCAN_BLOCKS, blocks, SCAN_BLOCKS):
+        out = out.union(scan(b))
     return out
 
 
@@ -154,5 +167,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark item, with all their columns."""
-    bad = matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+    key = fresh(docs, "bad_id")
+    bad = matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"] == F.col(key), "left_anti")

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ids_and_text, table
+from .common import ids_and_text, numbered, table
 
 #: Base patterns: kind, pattern, group that is measured, least length. They match in this order.
 _NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -376,14 +376,17 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with every secret in text replaced by [secret]; n_chars follows the new text. No row goes."""
 
+    k, n = (next((i for i, c in enumerate(docs.columns) if c.lower() == name), -1) for name in ("text", "n_chars"))
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, t = batch.schema.get_field_index("text"), batch.column("text")
+            t = batch.column(k)
             new = [x if x is None or not (s := scan(x)) else redacted(x, s) for x in (v.as_py() for v in t)]
             batch = batch.set_column(k, batch.schema.field(k), pa.array(new, t.type))
-            if (n := batch.schema.get_field_index("n_chars")) >= 0:
+            if n >= 0:
                 sizes = [old if x is None or x == y else len(x) for old, x, y in zip(batch.column(n).to_pylist(), new, t.to_pylist(), strict=True)]
                 batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, batch.column(n).type))
             yield batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)

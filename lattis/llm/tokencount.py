@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe import RANKS, Tokenizer, tokenizer
 from .common import fresh as fresh_name
-from .common import stored, table
+from .common import numbered, stored, table
 
 #: Pieces of a leaf, of a leaf that is split, characters of a piece of several pre-tokens, and characters behind which nothing is seen.
 LEAF, FULL, PIECE, CONTEXT = 32, 128, 32, 4
@@ -222,20 +222,21 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with two more columns, the last ones: n_tokens, and tree, the packed leaves."""
     path = path or public_tokenizers.path(RANKS)
-    names = [fresh_name(docs, "n_tokens"), fresh_name(docs, "tree")]
+    names, plain = [fresh_name(docs, "n_tokens"), fresh_name(docs, "tree")], numbered(docs)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
             total, trees = [], []
-            for v in b.column(text_col):
+            for v in b.column(at):
                 sizes, counts = measured(v.as_py() or "", t)
                 total.append(int(counts.sum()))
                 trees.append(pack(sizes, counts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
 
-    kinds = StructType([*docs.schema.fields, StructField(names[0], LongType()), StructField(names[1], BinaryType())])
-    return docs.mapInArrow(run, kinds)
+    kinds = StructType([*plain.schema.fields, StructField("n_tokens", LongType()), StructField("tree", BinaryType())])
+    return plain.mapInArrow(run, kinds).toDF(*docs.columns, *names)
 
 
 _EDITED = "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long, edited_sha256 string, text string, tree binary"

@@ -369,6 +369,19 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.matches(empty, bench).count() == 0 and decontamination.matches(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_blocks(spark, monkeypatch):
+    """Many blocks and several scans find what one does; on documents the hits are those of a plain search of every item in every text."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole = sorted(map(tuple, decontamination.matches(df, bench).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(decontamination, "SCAN_BLOCKS", 3)
+    assert sorted(map(tuple, decontamination.matches(df, bench).collect())) == whole
+    items = [(r.item_id, decontamination.normal(r.text)) for r in bench.collect()]
+    exact = {(r.doc_id, i) for r in df.collect() for i, x in items if x in decontamination.normal(r.text)}
+    assert exact == {(d, i) for d, i, edits, _ in whole if edits == 0} and len(exact) > 0
+
+
 def test_decontamination_edits_and_short():
     rng = random.Random(7)
     for size in (20, 25, 31, 80, 220, 384):
@@ -527,6 +540,24 @@ def test_shards_two_writers(spark, tmp_path, monkeypatch):
     assert b.compact() == 0 and sorted(map(tuple, b.read().collect())) == [(1, "A"), (2, "B")] and len(a.manifest()["shards"]) == 1
 
 
+@pytest.mark.parametrize("name", ["licenses", "secrets", "substrings", "quality", "near", "bpe", "trees"])
+def test_clashing_names_and_long_texts(spark, name):
+    """Extra columns with the operators' own names change nothing; texts of several MB come through whole."""
+    run = {
+        "licenses": licenses.licenses, "secrets": secrets.secrets, "substrings": substrings.without_repeats, "quality": quality.judge,
+        "near": minhash.near_duplicates, "bpe": lambda d: bpe.encoded(d, with_ids=False), "trees": lambda d: tokencount.edited(tokencount.with_trees(d), tree_col=tokencount.with_trees(d).columns[-1]).drop("tree", "text"),
+    }[name]
+    rng = random.Random(3)
+    long = " ".join(f"word{rng.randrange(3000)}" for _ in range(300_000))
+    rows = [(1, long, "en", "a"), (2, long + " more", "en", "a"), (3, "\n".join(long.split()[:50]), "en", "b"), (4, "é" * 2_000_000 if name not in ("trees", "bpe") else "é " * 700_000, "en", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("edits", F.expr("array(struct(0 as start, 1 as end, 'x' as new))"))
+    names = ["key", "n", "sig", "bands", "tree", "n_tokens", "row_id", "words", "lines", "g_lang", "bucket", "own", "mine", "path", "off", "src", "at", "copies", "component", "n_words", "kept", "f_symbols", "member", "part"]
+    more = df.select("*", *(F.lit(1).alias(c) for c in names))
+    key = lambda d: sorted(map(str, d.collect()))
+    want = key(run(df))
+    assert len(want) == 4 and key(run(more)) == want
+
+
 # the pipeline
 
 
@@ -544,7 +575,9 @@ def test_pipeline(spark, sf):
 
 
 def test_stages_odd(spark, odd, empty, sf):
-    for df in (odd, empty):
+    names = ["good_row", "good_id", "gone_id", "bad_id", "GONE_ID_", "row_id", "doc_id_", "text_", "own", "mine", "tree", "n_tokens", "sig", "bands", "copies", "component", "block", "a.b", "`q`"]
+    clash = odd.select("*", *(F.lit(1).alias(c) for c in names))
+    for df in (odd, empty, clash):
         x = df
         for name, stage in corpus_pipeline.STAGES:
             y = stage(spark, x, sf)
