@@ -9,13 +9,14 @@ Transducer. A state holds every live position (one from which a token could stil
 chain of tokens that ends there, from the last one that all live positions share. Reading a byte finds the new last token, drops
 positions from which no token can grow, and emits the tokens that all live positions share. So lookahead is bounded by the longest
 token. A shared token that no pair test can ask for any more is forgotten, which merges states. States and transitions are built when
-inputs first need them, and kept in flat tables by number; every input goes through them byte by byte. The tables have fixed sizes.
+inputs first need them; every input goes through them byte by byte. The tables have fixed sizes.
 
 Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, which holds back incomplete characters between
 chunks.
 
 Texts are split by the given pattern first. Cuts at single spaces between other characters never lie within a match, so
-the pieces between such cuts are encoded one by one and remembered in a table of bounded size.
+the pieces between such cuts are encoded one by one and remembered in a table of bounded size. A slab of texts is cut and its
+different pieces are numbered in Arrow; each is looked up once, and the texts' ids are put together from the numbers.
 
 Defined results: null text counts as empty and has no tokens; texts of any length are encoded whole; of pairs of one rank the leftmost
 merges first; repeated rows are encoded one by one; an empty table gives no rows; other columns, whatever their names, are ignored.
@@ -31,17 +32,19 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import held, ids_and_text, table
+from .common import held, ids_and_text, raw, steps, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of the tables.
-MOST_STATES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 200_000, 250_000, 100_000, 700_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 200_000, 250_000, 700_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,6 +63,10 @@ def merged(ranks: dict[bytes, int], data: bytes, to: int = 1) -> list[bytes]:
     return parts
 
 
+#: Keys of a state beside the bytes.
+FINAL, LIVE, PASSING = -1, -2, -3
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
@@ -80,17 +87,16 @@ class Transducer:
                 node = to
             self.token[node] = i
         self._pairs: dict[int, bool] = {}  # by (left + 1) << 20 | right, left -1 for the start
-        self._words: dict[bytes, tuple[int, ...]] = {}
         #: bytes read, and transitions built for them
         self.read = self.built = 0
         self._reset()
 
     def _reset(self) -> None:
-        """Only the start: state 0. live: ((node, chain), ...) of each state; final: the tokens that are left if the input ends there."""
-        self.live: list[tuple] = [((0, (-1,)),)]
-        self.final: list[tuple[int, ...]] = [()]
-        self.number = {self.live[0]: 0}
-        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state << 8 | byte: the new state and what is emitted
+        """Only the start. A state maps bytes to (state, what is emitted), FINAL to the tokens that are left if the input ends there, and
+        LIVE to its live positions: ((node, chain), ...)."""
+        live = ((0, (-1,)),)
+        self.start: dict = {FINAL: (), LIVE: live}
+        self.states = {live: self.start}
         self.passing = 0  # states that found the tables full
 
     def stay_apart(self, left: int, right: int) -> bool:
@@ -143,52 +149,43 @@ class Transducer:
             live = [(node, (-2, *c[1:])) for node, c in live]
         return tuple(live), sure
 
-    def rest(self, state: int, data: bytes, ids: list[int]) -> tuple[int, ...]:
+    def rest(self, state: dict, data: Iterable[int], ids: list[int]) -> tuple[int, ...]:
         """Reads data, beginning with a transition that isn't known. What is met first is kept; when the tables are full, further states
         last for one input, and too many of them empty the tables."""
-        live = self.live[state]
         for byte in data:
-            if state >= 0 and (go := self.next.get(state << 8 | byte)) is not None:
-                state, sure = go
-                live = self.live[state]
-            else:
-                live, sure = self.step(live, byte)
+            if (go := state.get(byte)) is None:
+                live, sure = self.step(state[LIVE], byte)
                 self.built += 1
-                to = self.number.get(live, -1)
-                if to < 0 and len(self.live) < MOST_STATES:
-                    to = self.number[live] = len(self.live)
-                    self.live.append(live)
-                    self.final.append(live[-1][1][1:])
-                if to < 0:
-                    self.passing += 1
-                elif state >= 0 and len(self.next) < 2 * MOST_STATES:
-                    self.next[state << 8 | byte] = to, sure
-                state = to
+                if (to := self.states.get(live)) is None:
+                    to = {FINAL: live[-1][1][1:], LIVE: live}
+                    if len(self.states) < MOST_STATES:
+                        self.states[live] = to
+                    else:
+                        to[PASSING] = True
+                        self.passing += 1
+                go = to, sure
+                if PASSING not in state and PASSING not in to:
+                    state[byte] = go
+            state, sure = go
             ids += sure
-        ids += live[-1][1][1:]
+        ids += state[FINAL]
         if self.passing > 4 * MOST_STATES:
             self._reset()
         return tuple(ids)
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """The tokens of one match of the pattern."""
-        if (out := self._words.get(data)) is not None:
-            return out
-        state, ids, known = 0, [], self.next
+        state, ids, rest = self.start, [], iter(data)
         self.read += len(data)
+        byte = -1
         try:
-            for at, byte in enumerate(data):
-                state, sure = known[state << 8 | byte]
+            for byte in rest:
+                state, sure = state[byte]
                 if sure:
                     ids += sure
-            out = (*ids, *self.final[state])
         except KeyError:
-            out = self.rest(state, data[at:], ids)
-        if len(data) <= 64:
-            if len(self._words) >= MOST_WORDS:
-                self._words.clear()
-            self._words[data] = out
-        return out
+            return self.rest(state, chain((byte,), rest), ids)
+        return (*ids, *state[FINAL])
 
 
 class Tokenizer:
@@ -199,19 +196,32 @@ class Tokenizer:
         self.fst, self.split = Transducer(read_ranks(path)), regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        gc.freeze()  # the trie stays; without this every full collection walks it
+        self.marks: dict[str, tuple[int, ...]] = {}  # short matches without a leading space
+        self.letters = pattern == public_tokenizers.PATTERN  # there, a space and letters are one match
+        # the tables hold no circles, and without these calls every full collection walks them
+        gc.freeze()
+        gc.set_threshold(200_000, 20, 20)
+
+    def match(self, m: str) -> tuple[int, ...]:
+        """The ids of one match of the pattern."""
+        if m[0] == " " and (ids := self.pieces.get(m[1:])) is not None:
+            return ids
+        if (ids := self.marks.get(m)) is None:
+            ids = self.fst.encode(m.encode("utf-8", "surrogatepass"))
+            if len(m) <= 3 and m[0] != " " and len(self.marks) < 10_000:
+                self.marks[m] = ids
+        return ids
 
     def whole(self, text: str) -> tuple[int, ...]:
         """The ids of a text that begins and ends where matches do."""
-        encode, found = self.fst.encode, self.split.findall(text)
-        if len(found) == 1:
-            return encode(found[0].encode("utf-8", "surrogatepass"))
-        return tuple(chain.from_iterable([encode(m.encode("utf-8", "surrogatepass")) for m in found]))
+        found = self.split.findall(text)
+        return self.match(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(self.match, found)))
 
     def missed(self, text: str) -> tuple[int, ...]:
         """The ids of a piece that the table lacks, or lacked a moment ago."""
         if (ids := self.pieces.get(text)) is None:
-            ids = self.old.pop(text, None) or self.whole(" " + text)
+            if (ids := self.old.pop(text, None)) is None:
+                ids = self.fst.encode(b" " + text.encode()) if self.letters and text.isalpha() else self.whole(" " + text)
             if len(text) <= 64:
                 if len(self.pieces) >= MOST_PIECES // 2:
                     self.old, self.pieces = self.pieces, {}
@@ -237,6 +247,46 @@ class Tokenizer:
         return list(chain(self.whole(first), chain.from_iterable(self.ids(rest))))
 
 
+#: Bytes of text of a slab, and of a text that is encoded by itself.
+SLAB_BYTES, ALONE_BYTES = 16 << 20, 64 << 20
+_WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Texts in which a space has white space, or nothing, beside it.
+_ODD = rf"\A | \z| {_WHITE}|{_WHITE} "
+
+
+class Slab:
+    """A slab's pieces: place k of text i, bounds[i] <= k < bounds[i + 1], has the ids ids[number[k]]. Texts in ``odd`` have none here."""
+
+    def __init__(self, t: Tokenizer, texts: pa.Array):
+        texts = texts.fill_null("")
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.greater(pc.binary_length(texts), ALONE_BYTES))
+        self.odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        cut = pc.split_pattern(pc.if_else(odd, "", texts) if self.odd else texts, " ")
+        self.bounds, self.pieces = cut.offsets.to_numpy().astype(np.int64), cut.values
+        coded = self.pieces.dictionary_encode()
+        words, first = coded.dictionary.to_pylist(), self.bounds[:-1]
+        self.ids = t.ids(words) + [t.whole(x) for x in self.pieces.take(pa.array(first)).to_pylist()]  # first pieces have no space before them
+        self.number = coded.indices.to_numpy().copy()
+        self.number[first] = len(words) + np.arange(len(first))
+        self.counts = np.fromiter(map(len, self.ids), np.int64, len(self.ids))[self.number]
+
+    def joined(self, of: pa.Array, by: str | bytes) -> list:
+        """For each text, its pieces' values joined."""
+        lists = pa.ListArray.from_arrays(pa.array(self.bounds.astype(np.int32)), of.take(pa.array(self.number)))
+        return pc.binary_join(lists, by).to_pylist()
+
+    def lists(self) -> pa.Array:
+        flat = pa.array(self.ids, pa.list_(pa.int32())).take(pa.array(self.number))
+        return pa.ListArray.from_arrays(flat.offsets.take(pa.array(self.bounds)), flat.values)
+
+
+def slabs(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of a column, in slabs of bounded size."""
+    texts = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    for i, j in steps(raw(texts)[1], SLAB_BYTES):
+        yield i, texts.slice(i, j - i)
+
+
 class Decoder:
     """Streaming decode: bytes of tokens through an incremental UTF-8 state machine."""
 
@@ -254,30 +304,40 @@ def tokenizer(path: str, pattern: str = public_tokenizers.PATTERN) -> Tokenizer:
 
 
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
-#: Ids decoded at a time.
+#: Bytes decoded at a time.
 _CHUNK = 1 << 16
 
 
+def _round_trip(data: bytes) -> str:
+    """The digest of the decoded text of an id sequence's bytes, chunk by chunk."""
+    machine, digest = codecs.getincrementaldecoder("utf-8")("replace"), hashlib.sha256()
+    for at in range(0, max(1, len(data)), _CHUNK):
+        digest.update(machine.decode(data[at : at + _CHUNK], at + _CHUNK >= len(data)).encode())
+    return digest.hexdigest()
+
+
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        name = {i: str(i) for i in t.fst.bytes_of}.__getitem__
+        bytes_of = t.fst.bytes_of.__getitem__
         for batch in batches:
-            n, out, sha, back = [], [], [], []
-            for v in batch.column("text"):
-                ids = t.encode(v.as_py() or "")
-                said = ",".join(map(name, ids))
-                decoder, digest = Decoder(t.fst.bytes_of), hashlib.sha256()
-                for at in range(0, len(ids), _CHUNK):
-                    digest.update(decoder.feed(ids[at : at + _CHUNK], at + _CHUNK >= len(ids)).encode())
-                n.append(len(ids))
-                out.append(ids if with_ids else None)
-                sha.append(hashlib.sha256(said.encode()).hexdigest())
-                back.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int32())), pa.array(sha, pa.string()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-            )
+            for i, texts in slabs(batch.column("text")):
+                slab = Slab(t, texts)
+                n = np.add.reduceat(slab.counts, slab.bounds[:-1])
+                said = slab.joined(pa.array([",".join(map(str, x)) for x in slab.ids], pa.string()), ",")
+                back = slab.joined(pa.array([b"".join(map(bytes_of, x)) for x in slab.ids], pa.binary()), b"")
+                ids = slab.lists() if with_ids else pa.nulls(len(texts), pa.list_(pa.int32()))
+                if slab.odd:
+                    ids = ids.to_pylist()
+                    for k in slab.odd:
+                        own = t.encode(texts[k].as_py())
+                        n[k], said[k], back[k], ids[k] = len(own), ",".join(map(str, own)), b"".join(map(bytes_of, own)), own if with_ids else None
+                    ids = pa.array(ids, pa.list_(pa.int32()))
+                sha = [hashlib.sha256(x.encode()).hexdigest() for x in said]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, len(texts)), pa.array(n), ids, pa.array(sha, pa.string()), pa.array([_round_trip(x) for x in back], pa.string())],
+                    ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+                )
 
     return run
 

@@ -23,12 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .bpe import RANKS, Tokenizer, tokenizer
+from .bpe import RANKS, Slab, Tokenizer, slabs, tokenizer
 from .common import fresh as fresh_name
 from .common import numbered, stored, table
 
@@ -40,7 +41,7 @@ def pieces(text: str, t: Tokenizer) -> list[tuple[int, int]]:
     """(characters, tokens) of the pieces of a text that begins where a pre-token does."""
     out, size, count = [], 0, 0
     for m in t.split.findall(text):
-        size, count = size + len(m), count + len(t.fst.encode(m.encode("utf-8", "surrogatepass")))
+        size, count = size + len(m), count + len(t.match(m))
         if size >= PIECE:
             out.append((size, count))
             size = count = 0
@@ -197,11 +198,24 @@ def measured(text: str, t: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, rest = t.cut(text)
-    sizes, counts = [len(first), *(len(p) + 1 for p in rest)], [len(t.whole(first)) if len(first) <= 2 * PIECE else 0, *map(len, t.ids(rest))]
-    if max(sizes) > 2 * PIECE:
-        cut = [p for k, (n, c) in enumerate(zip(sizes, counts, strict=True)) for p in ([(n, c)] if n <= 2 * PIECE else pieces(" " + rest[k - 1] if k else first, t))]
-        sizes, counts = zip(*cut, strict=True)
-    return np.array(sizes, np.int64)[(keep := np.array(sizes) > 0)], np.array(counts, np.int64)[keep]
+    sizes, counts = np.empty(len(rest) + 1, np.int64), np.empty(len(rest) + 1, np.int64)
+    sizes[0], counts[0] = len(first) - 1, len(t.whole(first)) if len(first) <= 2 * PIECE else 0
+    sizes[1:], counts[1:] = np.fromiter(map(len, rest), np.int64, len(rest)), np.fromiter(map(len, t.ids(rest)), np.int64, len(rest))
+    sizes += 1
+    if sizes.max() > 2 * PIECE:
+        cut = [p for k, (n, c) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)) for p in ([(n, c)] if n <= 2 * PIECE else pieces(" " + rest[k - 1] if k else first, t))]
+        sizes, counts = np.array(cut, np.int64).T
+    return (sizes, counts) if sizes.all() else (sizes[sizes > 0], counts[sizes > 0])
+
+
+def measured_all(texts: pa.Array, t: Tokenizer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """measured() of each text of a slab."""
+    slab = Slab(t, texts)
+    sizes = pc.utf8_length(slab.pieces).to_numpy().astype(np.int64) + 1
+    sizes[slab.bounds[:-1]] -= 1
+    odd = {*slab.odd, *(np.searchsorted(slab.bounds, np.flatnonzero((sizes > 2 * PIECE) | (sizes == 0)), "right") - 1).tolist()}
+    for i, (a, b) in enumerate(zip(slab.bounds[:-1].tolist(), slab.bounds[1:].tolist(), strict=True)):
+        yield measured(texts[i].as_py() or "", t) if i in odd else (sizes[a:b], slab.counts[a:b])
 
 
 _BYTES = zstandard.ZstdCompressor(level=1)
@@ -229,10 +243,10 @@ def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text")
         t = tokenizer(path)
         for b in batches:
             total, trees = [], []
-            for v in b.column(at):
-                sizes, counts = measured(v.as_py() or "", t)
-                total.append(int(counts.sum()))
-                trees.append(pack(sizes, counts))
+            for _, texts in slabs(b.column(at)):
+                for sizes, counts in measured_all(texts, t):
+                    total.append(int(counts.sum()))
+                    trees.append(pack(sizes, counts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
 
     kinds = StructType([*plain.schema.fields, StructField("n_tokens", LongType()), StructField("tree", BinaryType())])
