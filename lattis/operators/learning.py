@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 #: Name -> factory(rows, **params). A ridge penalty on the sum of squares is alpha / n on their mean.
 REGRESSORS = {
     "linear": lambda n, **p: LinearRegression(**p),
-    "ridge": lambda n, alpha=1.0, **p: LinearRegression(regParam=alpha / max(n, 1), elasticNetParam=0.0, **p),
-    "lasso": lambda n, alpha=0.01, **p: LinearRegression(regParam=alpha, elasticNetParam=1.0, **p),
-    "elastic_net": lambda n, alpha=0.01, l1_ratio=0.5, **p: LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, **p),
+    "ridge": lambda n, alpha=1.0, **p: LinearRegression(regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False, **p),
+    "lasso": lambda n, alpha=0.01, **p: LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False, **p),
+    "elastic_net": lambda n, alpha=0.01, l1_ratio=0.5, **p: LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False, **p),
     "random_forest": lambda n, trees=200, leaf=3, depth=10, **p: RandomForestRegressor(numTrees=trees, minInstancesPerNode=leaf, maxDepth=depth, seed=0, **p),
     "gradient_boosting": lambda n, iters=100, depth=3, step=0.1, **p: GBTRegressor(maxIter=iters, maxDepth=depth, stepSize=step, seed=0, **p),
 }
@@ -82,10 +82,91 @@ def cross_validate(df: DataFrame, model: str, target: str, numeric, categorical=
     return out
 
 
+#: Linear models: (penalty on the mean of squares as a function of rows and parameters, share of it that is on absolute values).
+LINEAR = {
+    "linear": lambda n: (0.0, 0.0), "ridge": lambda n, alpha=1.0: (alpha / max(n, 1), 0.0), "lasso": lambda n, alpha=0.01: (alpha, 1.0),
+    "elastic_net": lambda n, alpha=0.01, l1_ratio=0.5: (alpha, l1_ratio),
+}
+#: Columns of a design whose products are summed; wider ones are fitted one by one with the same objective.
+MAX_COLUMNS = 100
+
+
+def _solve(g: np.ndarray, xy: np.ndarray, alpha: float, l1: float) -> np.ndarray:
+    """Least 0.5 b'gb - b'xy + alpha ((1 - l1) / 2 |b|^2 + l1 |b|_1); the last coefficient, the constant, isn't penalised."""
+    pen = np.append(np.full(len(xy) - 1, alpha), 0.0)
+    b = np.linalg.pinv(g + np.diag(pen * (1 - l1)), hermitian=True) @ xy
+    for _ in range(10_000 if l1 * alpha else 0):
+        old = b.copy()
+        for j in range(len(b)):
+            if g[j, j] > 0:
+                r = xy[j] - g[j] @ b + g[j, j] * b[j]
+                b[j] = np.sign(r) * max(abs(r) - pen[j] * l1, 0) / (g[j, j] + pen[j] * (1 - l1))
+        if np.abs(b - old).max() < 1e-9 * max(1.0, np.abs(b).max()):
+            break
+    return b
+
+
+def linear_scores(df: DataFrame, target: str, numeric, categorical, models: dict[str, dict], cv: int) -> list[dict] | None:
+    """Cross-validated scores of all linear models in three passes: medians of each fold's training rows, sums of products by fold (a
+    training set is all folds less one, so one pass serves every fit), and the errors. None if the design is too wide."""
+    t0, numeric, categorical = time.time(), list(numeric), list(categorical)
+    levels = [(c, r[0]) for c in categorical for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(MAX_COLUMNS + 1).collect()]
+    if 2 * len(numeric) + len(levels) > MAX_COLUMNS:
+        return None
+    d = df.select("fold", F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(numeric)], *[F.col(c).cast("string").alias(f"c{j}") for j, c in enumerate(categorical)]).where("y is not null")
+    med = d.agg(F.count("*"), *[F.expr(f"percentile_approx(if(fold <> {k}, x{j}, null), 0.5, 10000)") for k in range(cv) for j in range(len(numeric))]).first()
+    # a number is its value, 0 if null, and whether it is null: any imputation is a sum of the two
+    cols = [e for j in range(len(numeric)) for e in (F.coalesce(F.col(f"x{j}"), F.lit(0.0)), F.col(f"x{j}").isNull().cast("double"))]
+    cols += [F.coalesce((F.col(f"c{categorical.index(c)}") == v).cast("double"), F.lit(0.0)) for c, v in levels] + [F.lit(1.0)]
+    m, folds = len(cols), {}
+    every = [*cols, F.col("y")]
+    for r in d.groupBy("fold").agg(*[F.sum(a * b).alias(f"s{i}_{i + k}") for i, a in enumerate(every) for k, b in enumerate(every[i:])]).collect():
+        g = np.zeros((m + 1, m + 1))
+        for i in range(m + 1):
+            for j in range(i, m + 1):
+                g[i, j] = g[j, i] = r[f"s{i}_{j}"]
+        folds[r.fold] = g
+    whole, fits, p = sum(folds.values()), {}, len(numeric)
+    for k in folds:
+        g = whole - folds[k]
+        n = g[m - 1, m - 1]
+        if n < 2:
+            continue
+        # numbers are imputed and scaled by the training rows, categories stay 0 and 1
+        a = np.zeros((p + len(levels) + 1, m))
+        for j in range(p):
+            v = med[1 + k * p + j] or 0.0
+            mean = (g[2 * j, m - 1] + v * g[2 * j + 1, m - 1]) / n
+            square = g[2 * j, 2 * j] + v * v * g[2 * j + 1, 2 * j + 1]
+            sd = math.sqrt(max(0.0, (square - n * mean * mean) / (n - 1)))
+            if sd > 0:
+                a[j, 2 * j], a[j, 2 * j + 1], a[j, m - 1] = 1 / sd, v / sd, -mean / sd
+        for j in range(p, len(a)):
+            a[j, p + j] = 1.0
+        gz, xz = a @ g[:m, :m] @ a.T / n, a @ g[:m, m] / n
+        for name, params in models.items():
+            fits[name, k] = _solve(gz, xz, *LINEAR[name](n, **params)) @ a
+    aggs = []
+    for (_, k), w in fits.items():
+        e = F.col("y") - sum((float(c) * x for c, x in zip(w, cols, strict=True)), F.lit(0.0))
+        aggs += [F.sum(F.when(hit, v)) for hit in (F.col("fold") == k, F.col("fold") != k) for v in (e * e, F.abs(e))]
+    got, out = iter(d.agg(*aggs).first()) if aggs else iter(()), {}
+    for name, k in fits:
+        for tag, g in (("cv", folds[k]), ("train", whole - folds[k])):
+            n, sse, sae = g[m - 1, m - 1], next(got), next(got)
+            tss = g[m, m] - g[m - 1, m] ** 2 / n
+            for metric, v in (("rmse", math.sqrt(sse / n)), ("mae", sae / n), ("r2", 1 - sse / tss if tss > 0 else math.nan)):
+                out.setdefault(name, {}).setdefault((metric, tag), []).append(v)
+    took = (time.time() - t0) / max(1, len(fits))
+    return [{"model": name, "fit_time_s": took} | {key: v for q in ("rmse", "mae", "r2") for key, v in ((f"{q}_cv", float(np.mean(s[q, "cv"]))), (f"{q}_cv_std", float(np.std(s[q, "cv"]))), (f"{q}_train", float(np.mean(s[q, "train"]))))} for name, s in out.items()]
+
+
 def compare_models(df: DataFrame, target: str, numeric, categorical=(), models=tuple(REGRESSORS), keys=("key",), cv: int = 5, params: dict | None = None) -> DataFrame:
     """The leaderboard by cross-validated rmse."""
-    df = with_folds(df, list(keys), cv).cache()
-    rows = sorted((cross_validate(df, m, target, numeric, categorical, cv, (params or {}).get(m)) for m in models), key=lambda r: r["rmse_cv"])
+    df, params = with_folds(df, list(keys), cv).cache(), params or {}
+    rows = linear_scores(df, target, numeric, categorical, {m: params.get(m) or {} for m in models if m in LINEAR}, cv) if set(models) & LINEAR.keys() else []
+    done = {r["model"] for r in rows or []}
+    rows = sorted([*(rows or []), *(cross_validate(df, m, target, numeric, categorical, cv, params.get(m)) for m in models if m not in done)], key=lambda r: r["rmse_cv"])
     df.unpersist()
     kinds = ", ".join(f"{k} {'string' if k == 'model' else 'double'}" for k in rows[0])
     return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], kinds)
@@ -114,16 +195,17 @@ def tune_model(df: DataFrame, model: str, target: str, numeric, categorical=(),
 
 
 def permutation_importances(model, df: DataFrame, target: str, columns: list[str], n_repeats: int = 10, seed: int = 0) -> DataFrame:
-    """(column, mean, std) of the rise in rmse when a column is shuffled. The shuffle is a hash order dealt into bounded groups
-    and rotated within them, so no global sort."""
+    """(column, mean, std) of the rise in rmse when a column is shuffled. The shuffle is a hash order dealt into groups of about
+    100,000 rows and rotated within them, so no global sort. Nulls are values like others."""
+    groups = max(64, df.count() // 100_000)
     base = _scores(model, df, target)["rmse"]
     rows = []
     for c in columns:
         drops = []
         for k in range(n_repeats):
             h = F.xxhash64(*[F.col(x) for x in df.columns], F.lit(seed + k))
-            mixed = df.withColumn("__g", F.pmod(F.xxhash64(h, F.lit(1)), F.lit(64))).withColumn("__h", h)
-            mixed = mixed.withColumn(c, F.expr(f"coalesce(lead(`{c}`) over (partition by __g order by __h), first(`{c}`) over (partition by __g order by __h))")).drop("__g", "__h")
+            mixed = df.withColumn("__g", F.pmod(F.xxhash64(h, F.lit(1)), F.lit(groups))).withColumn("__h", h)
+            mixed = mixed.withColumn(c, F.expr(f"if(lead(true) over w, lead(`{c}`) over w, first(`{c}`) over w)".replace(" over w", " over (partition by __g order by __h)"))).drop("__g", "__h")
             drops.append(_scores(model, mixed, target)["rmse"] - base)
         rows.append((c, float(np.mean(drops)), float(np.std(drops))))
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: -r[1]), "column string, importance_mean double, importance_std double")

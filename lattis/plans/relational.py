@@ -266,12 +266,15 @@ def grid_melt(spark, sf):
     return tabular.melt_grid(_wide(spark, sf), "chlor").select("longitude", "latitude", "chlor")
 
 
-@query("""SELECT CAST(o_custkey % 25 AS DOUBLE) AS longitude, CAST(o_orderkey % 10 AS DOUBLE) AS latitude, max(o_totalprice) FILTER (year(o_orderdate) = 1996) AS chlor_1996, max(o_totalprice) FILTER (year(o_orderdate) = 1997) AS chlor_1997
-  FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY ALL""")
+_YEARS = range(1992, 1999)  # all that orders has
+
+
+@query(f"""SELECT CAST(o_custkey % 25 AS DOUBLE) AS longitude, CAST(o_orderkey % 10 AS DOUBLE) AS latitude, {", ".join(f"max(o_totalprice) FILTER (year(o_orderdate) = {y}) AS chlor_{y}" for y in _YEARS)}
+  FROM orders GROUP BY ALL""")
 def grid_outer_join(spark, sf):
-    o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate")).where("y in (1996, 1997)")
+    o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
     long = o.groupBy((F.col("o_custkey") % 25).cast("double").alias("longitude"), (F.col("o_orderkey") % 10).cast("double").alias("latitude"), F.concat(F.lit("chlor_"), F.col("y")).alias("name")).agg(F.max("o_totalprice").alias("value"))
-    return tabular.outer_join_grids(long, ["chlor_1996", "chlor_1997"])
+    return tabular.outer_join_grids(long, [f"chlor_{y}" for y in _YEARS])
 
 
 _YS = f"{SERIES}, ys AS (SELECT cell, year, CASE WHEN doy < 104 OR doy >= 288 THEN 'winter' ELSE 'summer' END AS season, avg(value) AS mean FROM ser GROUP BY ALL)"
@@ -338,11 +341,11 @@ def holdout_split(spark, sf):
     return learning.holdout_split(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", ["o_orderkey"])[1].select("o_orderkey")
 
 
-@query(f"""WITH {POSITIONS} SELECT pos_id, round(-122 + x / 100000, 6) AS lon, round(37 + y / 100000, 6) AS lat, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, alt, CAST((alt > 50)::INT AS DOUBLE) AS high FROM pos WHERE x > 0""")
+@query(f"""WITH {POSITIONS} SELECT pos_id, round(-122 + x / 100000, 6) AS lon, round(37 + y / 100000, 6) AS lat, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts, alt, CAST((alt > 50)::INT AS DOUBLE) AS high FROM pos""")
 def kepler_layer_frame(spark, sf):
     from .kepler import prepare_frame
 
-    p = positions(spark, sf).where("x > 0").select("pos_id", (F.lit(-122) + F.col("x") / 100000).alias("lon"), (F.lit(37) + F.col("y") / 100000).alias("lat"), "ts", "alt", (F.col("alt") > 50).alias("high"))
+    p = positions(spark, sf).select("pos_id", (F.lit(-122) + F.col("x") / 100000).alias("lon"), (F.lit(37) + F.col("y") / 100000).alias("lat"), "ts", "alt", (F.col("alt") > 50).alias("high"))
     return prepare_frame(p, keep=["pos_id"]).withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)})
 
 

@@ -108,10 +108,10 @@ def catchment(spark, sf):
     return terrain.catchment(*_snapped(spark, sf))
 
 
-@query(f"{_D8R}, wlk AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell, recv FROM dir WHERE cell % 97 = 3 UNION ALL SELECT start, step + 1, d.cell, d.recv FROM wlk JOIN dir d ON d.cell = wlk.recv) SELECT start, step, cell FROM wlk")
+@query(f"{_D8R}, wlk AS (SELECT cell AS start, CAST(0 AS BIGINT) AS step, cell, recv FROM dir UNION ALL SELECT start, step + 1, d.cell, d.recv FROM wlk JOIN dir d ON d.cell = wlk.recv) SELECT start, step, cell FROM wlk")
 def downstream_path(spark, sf):
     recv = stored(_recv(spark, sf))
-    return terrain.downstream_paths(recv, recv.where("cell % 97 = 3").select(F.col("cell").alias("start")))
+    return terrain.downstream_paths(recv, recv.select(F.col("cell").alias("start")))
 
 
 @query()
@@ -240,7 +240,13 @@ _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 @query()
 def cv_leaderboard(spark, sf):
-    return learning.compare_models(_items(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"], ("linear", "ridge", "lasso"), _KEYS, cv=3)
+    return learning.compare_models(_items(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"], ("linear", "ridge", "lasso", "elastic_net"), _KEYS, cv=5).drop("fit_time_s")
+
+
+@query()
+def cv_trees(spark, sf):
+    small = {"random_forest": {"trees": 5, "depth": 4}, "gradient_boosting": {"iters": 5}}
+    return learning.compare_models(_items(spark, sf), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"], tuple(small), _KEYS, cv=2, params=small).drop("fit_time_s")
 
 
 @query()
@@ -252,4 +258,4 @@ def tuned_model(spark, sf):
 def permutation_importance(spark, sf):
     d = _items(spark, sf)
     m = learning.build_pipeline("linear", ["l_quantity", "l_discount", "l_tax"], target="l_extendedprice").fit(d)
-    return learning.permutation_importances(m, d, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], n_repeats=1)
+    return learning.permutation_importances(m, d, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], n_repeats=2)

@@ -226,3 +226,56 @@ def test_encoding(spark):
     assert made == {"port": ["port_mid", "port_west"]} and out.where("id = 4").first().port_mid is None
     roles = {r.column: r.role for r in encoding.role_frame(df, float_category_limit=2).collect()}
     assert roles == {"port": "categorical", "id": "identifier", "v": "continuous", "one": "drop"}
+
+
+def test_linear_scores(spark):
+    """All linear models on all folds against numpy fits fold by fold; nulls are imputed by the training rows' medians."""
+    import numpy as np
+
+    from lattis.operators import learning
+
+    rng = np.random.default_rng(2)
+    n = 400
+    x, c = rng.normal(size=(n, 2)) * [3, 0.5] + [10, -1], rng.integers(0, 3, n)
+    y = x @ [2.0, -7.0] + c * 1.5 + rng.normal(size=n)
+    gone = rng.random(n) < 0.1
+    rows = [(i, None if gone[i] else float(x[i, 0]), float(x[i, 1]), "abc"[c[i]], float(y[i])) for i in range(n)]
+    df = learning.with_folds(spark.createDataFrame(rows, "key long, a double, b double, c string, y double"), ["key"], 3)
+    fold = np.array([r.fold for r in df.orderBy("key").collect()])
+    models = {"linear": {}, "ridge": {"alpha": 20.0}, "lasso": {"alpha": 0.3}, "elastic_net": {"alpha": 0.2, "l1_ratio": 0.3}}
+    got = {r["model"]: r for r in learning.linear_scores(df, "y", ["a", "b"], ["c"], models, 3)}
+    for name, params in models.items():
+        rmse = []
+        for k in range(3):
+            train, a = fold != k, x[:, 0].copy()
+            a[gone] = np.sort(a[train & ~gone])[(train & ~gone).sum() // 2 - (0 if (train & ~gone).sum() % 2 else 1)]
+            num = np.stack([a, x[:, 1]], axis=1)
+            num = (num - num[train].mean(axis=0)) / num[train].std(axis=0, ddof=1)
+            z = np.column_stack([num, c == 0, c == 1, c == 2, np.ones(n)]).astype(float)
+            alpha, l1 = learning.LINEAR[name](train.sum(), **params)
+            t, b = z[train], np.zeros(6)
+            for _ in range(4000 if name != "linear" else 0):  # plain proximal steps on the rows
+                step = 1 / np.linalg.eigvalsh(t.T @ t / len(t) + alpha * (1 - l1) * np.eye(6))[-1]
+                pen = np.append(np.full(5, alpha), 0)
+                b = b - step * (t.T @ (t @ b - y[train]) / len(t) + pen * (1 - l1) * b)
+                b = np.sign(b) * np.maximum(np.abs(b) - step * pen * l1, 0)
+            if name == "linear":
+                b = np.linalg.lstsq(t, y[train], rcond=None)[0]
+            rmse.append(np.sqrt(np.mean((y[~train] - z[~train] @ b) ** 2)))
+        assert abs(got[name]["rmse_cv"] - np.mean(rmse)) < 2e-3 * np.mean(rmse), name
+
+
+def test_importances_keep_nulls(spark):
+    """Shuffling moves nulls and values, and changes the number of neither."""
+    from lattis.operators import learning
+
+    df = spark.range(2000).selectExpr("id", "if(id % 3 = 0, null, cast(id % 7 as double)) as x")
+    seen = []
+
+    class Model:
+        def transform(self, d):
+            seen.append(d.where("x is null").count())
+            return d.selectExpr("*", "0D as prediction", "1D as y")
+
+    learning.permutation_importances(Model(), df, "y", ["x"], n_repeats=2)
+    assert seen == [667] * 3
