@@ -39,12 +39,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import held, ids_and_text, raw, steps, table
+from .common import held, idle, ids_and_text, raw, steps, table, trimmed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of the tables.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 200_000, 250_000, 700_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 150_000, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -248,7 +248,7 @@ class Tokenizer:
 
 
 #: Bytes of text of a slab, and of a text that is encoded by itself.
-SLAB_BYTES, ALONE_BYTES = 16 << 20, 64 << 20
+SLAB_BYTES, ALONE_BYTES = 4 << 20, 64 << 20
 _WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Texts in which a space has white space, or nothing, beside it.
 _ODD = rf"\A | \z| {_WHITE}|{_WHITE} "
@@ -338,6 +338,8 @@ def _encode(path: str, with_ids: bool):
                     [batch.column("doc_id").slice(i, len(texts)), pa.array(n), ids, pa.array(sha, pa.string()), pa.array([_round_trip(x) for x in back], pa.string())],
                     ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
+            trimmed()
+        idle()
 
     return run
 

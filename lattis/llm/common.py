@@ -5,7 +5,10 @@ Words are runs of ``[^\\x20\\x09-\\x0D]``. On UTF-8 bytes these are the runs tha
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,18 +81,44 @@ def dropped(df: DataFrame) -> None:
 
 
 _HELD: dict = {}
+_IDLE: list = []
+#: Seconds after which a Python worker that waits for a task lets its table go.
+IDLE_SECONDS = 10.0
+
+
+def trimmed() -> None:
+    """Gives the memory of freed batches and tables back to the system, where the system can take it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _let_go() -> None:
+    _HELD.clear()
+    gc.collect()
+    trimmed()
 
 
 def held(key: object = None, make: Callable | None = None):
     """The large table that a Python worker keeps between tasks. A worker holds one: asking for another, or for none, frees it, so a
-    stage doesn't carry the tables of the stages before it."""
+    stage doesn't carry the tables of the stages before it. idle() frees it where no Python stage follows."""
+    while _IDLE:
+        _IDLE.pop().cancel()
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _let_go()
         if make:
             _HELD[key] = make()
     return _HELD.get(key)
 
 
+def idle() -> None:
+    """Called when a task has ended: without another one soon, the table goes."""
+    _IDLE.append(threading.Timer(IDLE_SECONDS, _let_go))
+    _IDLE[-1].daemon = True
+    _IDLE[-1].start()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with its columns named c0, c1, ...: mapInArrow can't take names with dots or backticks."""
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))

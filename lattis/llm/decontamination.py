@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, held, ids_and_text, table
+from .common import fresh, held, idle, ids_and_text, table
 
 MIN_CHARS, PIECE, SHARE = 20, 8, 10
 #: Characters of items in one block, blocks of one scan, and bytes of text of a slab.
@@ -152,6 +152,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     found = [(d, *h) for d, t in rows for h in m.hits(t)]
                     cols = zip(*found, strict=True) if found else ([],) * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "item_chars"])
+            idle()
 
         return docs.mapInArrow(run, "doc_id long, item_id long, edits long, item_chars long")
 

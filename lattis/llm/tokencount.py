@@ -31,7 +31,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe import RANKS, Slab, Tokenizer, slabs, tokenizer
 from .common import fresh as fresh_name
-from .common import numbered, stored, table
+from .common import idle, numbered, stored, table, trimmed
 
 #: Pieces of a leaf, of a leaf that is split, characters of a piece of several pre-tokens, and characters behind which nothing is seen.
 LEAF, FULL, PIECE, CONTEXT = 32, 128, 32, 4
@@ -248,6 +248,8 @@ def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text")
                     total.append(int(counts.sum()))
                     trees.append(pack(sizes, counts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
+            trimmed()
+        idle()
 
     kinds = StructType([*plain.schema.fields, StructField("n_tokens", LongType()), StructField("tree", BinaryType())])
     return plain.mapInArrow(run, kinds).toDF(*docs.columns, *names)
@@ -278,6 +280,8 @@ def edited(docs: DataFrame, path: str | None = None, keep: bool = True, tree_col
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.binary()]
             cols = zip(*rows, strict=True) if rows else ([],) * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _EDITED.split(", ")])
+            trimmed()
+        idle()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits", *kept).mapInArrow(run, _EDITED)
 
