@@ -43,8 +43,8 @@ from .common import held, idle, ids_and_text, raw, steps, table, trimmed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Entries of the tables.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 150_000, 150_000, 500_000
+#: Entries of the tables; a tokenizer with less room has that share of them. They change the speed only.
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 200_000, 250_000, 700_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,7 +68,8 @@ FINAL, LIVE, PASSING = -1, -2, -3
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], room: float = 1.0):
+        self.most_states, self.most_pairs = int(MOST_STATES * room), int(MOST_PAIRS * room)
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         good, self.halves = {}, {}  # halves: the two tokens of a token's last merge; of a byte, itself twice
         for b, i in ranks.items():
@@ -102,7 +103,7 @@ class Transducer:
     def stay_apart(self, left: int, right: int) -> bool:
         key = (left + 1) << 20 | right
         if (ok := self._pairs.get(key)) is None:
-            if len(self._pairs) >= MOST_PAIRS:
+            if len(self._pairs) >= self.most_pairs:
                 self._pairs.clear()
             ok = self._pairs[key] = left < 0 or self._apart(left, right)
         return ok
@@ -158,7 +159,7 @@ class Transducer:
                 self.built += 1
                 if (to := self.states.get(live)) is None:
                     to = {FINAL: live[-1][1][1:], LIVE: live}
-                    if len(self.states) < MOST_STATES:
+                    if len(self.states) < self.most_states:
                         self.states[live] = to
                     else:
                         to[PASSING] = True
@@ -169,7 +170,7 @@ class Transducer:
             state, sure = go
             ids += sure
         ids += state[FINAL]
-        if self.passing > 4 * MOST_STATES:
+        if self.passing > 4 * self.most_states:
             self._reset()
         return tuple(ids)
 
@@ -192,8 +193,8 @@ class Tokenizer:
     """Encodes whole texts. Holds the transducer and a table of the ids of pieces, by their text after the leading space. When it is full,
     its entries become the old generation: those that are met again come back, the others go with the next."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        self.fst, self.split = Transducer(read_ranks(path)), regex.compile(pattern)
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, room: float = 1.0):
+        self.fst, self.split, self.most_pieces = Transducer(read_ranks(path), room), regex.compile(pattern), int(MOST_PIECES * room)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.marks: dict[str, tuple[int, ...]] = {}  # short matches without a leading space
@@ -223,7 +224,7 @@ class Tokenizer:
             if (ids := self.old.pop(text, None)) is None:
                 ids = self.fst.encode(b" " + text.encode()) if self.letters and text.isalpha() else self.whole(" " + text)
             if len(text) <= 64:
-                if len(self.pieces) >= MOST_PIECES // 2:
+                if len(self.pieces) >= self.most_pieces // 2:
                     self.old, self.pieces = self.pieces, {}
                 self.pieces[text] = ids
         return ids
@@ -248,7 +249,7 @@ class Tokenizer:
 
 
 #: Bytes of text of a slab, and of a text that is encoded by itself.
-SLAB_BYTES, ALONE_BYTES = 4 << 20, 64 << 20
+SLAB_BYTES, ALONE_BYTES = 16 << 20, 64 << 20
 _WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Texts in which a space has white space, or nothing, beside it.
 _ODD = rf"\A | \z| {_WHITE}|{_WHITE} "
@@ -280,10 +281,10 @@ class Slab:
         return pa.ListArray.from_arrays(flat.offsets.take(pa.array(self.bounds)), flat.values)
 
 
-def slabs(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def slabs(column: pa.Array, size: int = SLAB_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of a column, in slabs of bounded size."""
     texts = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    for i, j in steps(raw(texts)[1], SLAB_BYTES):
+    for i, j in steps(raw(texts)[1], size):
         yield i, texts.slice(i, j - i)
 
 
@@ -298,9 +299,9 @@ class Decoder:
         return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)), last)
 
 
-def tokenizer(path: str, pattern: str = public_tokenizers.PATTERN) -> Tokenizer:
+def tokenizer(path: str, pattern: str = public_tokenizers.PATTERN, room: float = 1.0) -> Tokenizer:
     """Kept by a Python worker between tasks, until another operator asks for its own table."""
-    return held((path, pattern), lambda: Tokenizer(path, pattern))
+    return held((path, pattern, room), lambda: Tokenizer(path, pattern, room))
 
 
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
@@ -316,12 +317,12 @@ def _round_trip(data: bytes) -> str:
     return digest.hexdigest()
 
 
-def _encode(path: str, with_ids: bool):
+def _encode(path: str, with_ids: bool, room: float = 1.0, size: int = SLAB_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = tokenizer(path, room=room)
         bytes_of = t.fst.bytes_of.__getitem__
         for batch in batches:
-            for i, texts in slabs(batch.column("text")):
+            for i, texts in slabs(batch.column("text"), size):
                 slab = Slab(t, texts)
                 n = np.add.reduceat(slab.counts, slab.bounds[:-1])
                 said = slab.joined(pa.array([",".join(map(str, x)) for x in slab.ids], pa.string()), ",")
@@ -344,9 +345,10 @@ def _encode(path: str, with_ids: bool):
     return run
 
 
-def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: its ids, their number and digest, and the digest of the decoded text's bytes."""
-    return ids_and_text(docs, id_col, text_col).mapInArrow(_encode(path or public_tokenizers.path(RANKS), with_ids), _ENCODED)
+def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", room: float = 1.0, size: int = SLAB_BYTES) -> DataFrame:
+    """One row per row of docs: its ids, their number and digest, and the digest of the decoded text's bytes. room and size (bytes of a
+    slab) trade memory of a worker against speed."""
+    return ids_and_text(docs, id_col, text_col).mapInArrow(_encode(path or public_tokenizers.path(RANKS), with_ids, room, size), _ENCODED)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,5 +356,6 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with a round trip's digest."""
-    return encoded(docs)
+    """The token ids of each document, with a round trip's digest. In a pipeline the executors' heaps have grown before, so the workers
+    take less room."""
+    return encoded(docs, room=0.7, size=4 << 20)
