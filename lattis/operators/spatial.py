@@ -15,13 +15,22 @@ from ..runtime import stored
 MOST_PERMUTED = 4_000_000
 
 
-def _near(points: DataFrame, side: float) -> DataFrame:
-    """Pairs of points of neighbouring square buckets."""
-    a = points.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"))
-    b = points.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
-    b = b.withColumn("ox", F.explode(F.expr("array(cx - 1, cx, cx + 1)"))).withColumn("oy", F.explode(F.expr("array(cy - 1, cy, cy + 1)")))
-    p = a.join(b, (F.col("bx") == F.col("ox")) & (F.col("by") == F.col("oy")) & (F.col("i") != F.col("j")))
-    return p.select("i", "j", F.sqrt((F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj")) + (F.col("yi") - F.col("yj")) * (F.col("yi") - F.col("yj"))).alias("d"))
+def _dealt(points: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Points in buckets of half the reach, once as i and once as j of all 25 buckets about. The number of partitions is
+    given: the work is in the pairs, not in the rows by which small partitions are put together."""
+    spark, side = points.sparkSession, reach * (0.5 + 1e-9)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    p = points.withColumns({"bx": F.floor(F.col("x") / side), "by": F.floor(F.col("y") / side)})
+    around = F.explode(F.array(*[F.struct((F.col("bx") + dx).alias("bx"), (F.col("by") + dy).alias("by")) for dx in range(-2, 3) for dy in range(-2, 3)]))
+    b = p.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), around.alias("at")).select("j", "xj", "yj", F.col("at.bx").alias("ox"), F.col("at.by").alias("oy"))
+    return p.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "bx", "by"), b.repartition(n, "ox", "oy")
+
+
+def _near(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """a's columns with j and d, for the pairs within reach; never by a broadcast, since b's size is a multiple of what its table's size tells."""
+    p = a.join(b.hint("merge"), (F.col("bx") == F.col("ox")) & (F.col("by") == F.col("oy")) & (F.col("i") != F.col("j")))
+    d = F.sqrt((F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj")) + (F.col("yi") - F.col("yj")) * (F.col("yi") - F.col("yj")))
+    return p.withColumn("d", d).where(F.col("d") <= reach)
 
 
 def knn(points: DataFrame, k: int = 8) -> DataFrame:
@@ -66,11 +75,18 @@ def row_standardise(edges: DataFrame) -> DataFrame:
 
 
 def distance_band(points: DataFrame, threshold: float | None = None, multiplier: float = 1.0, alpha: float = -1.5, binary: bool = False, standardise: bool = True) -> DataFrame:
-    """Neighbours up to threshold * multiplier, weighted by distance^alpha or 1."""
+    """Neighbours up to threshold * multiplier, weighted by distance^alpha or 1.
+
+    The edges are far more than the points, so they are found twice, for the sums and for the weights, and never shuffled.
+    """
     reach = (threshold if threshold is not None else threshold_distance(points)) * multiplier
     w = F.lit(1.0) if binary else F.pow(F.col("d"), F.lit(alpha))
-    e = _near(points, max(reach, 1e-9)).where(F.col("d") <= reach).select("i", "j", w.alias("w"))
-    return row_standardise(e) if standardise else e
+    a, b = _dealt(points, max(reach, 1e-9))
+    if not standardise:
+        return _near(a, b, reach).select("i", "j", w.alias("w"))
+    s = _near(a, b, reach).groupBy("i").agg(F.sum(w).alias("s"))
+    a = a.join(s, "i")
+    return _near(a, b, reach).select("i", "j", (w / F.col("s")).alias("w"))
 
 
 def knn_weights(points: DataFrame, k: int = 8, standardise: bool = True) -> DataFrame:

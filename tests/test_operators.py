@@ -65,6 +65,44 @@ def test_proximity_is_brute_force_and_ignores_buckets(spark):
     assert proximity.proximity_counts(df, c).agg(F.sum("event_count")).first()[0] == 2 * len(want)
 
 
+def _shuffled(df) -> int:
+    """Rows that the plan's exchanges write; the session must not plan adaptively."""
+    q, rows = df._jdf.queryExecution(), 0
+    q.toRdd().count()
+    nodes = [q.executedPlan()]
+    while nodes:
+        n = nodes.pop()
+        rows += n.metrics().apply("shuffleRecordsWritten").value() if n.metrics().contains("shuffleRecordsWritten") else 0
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+    return rows
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_distance_band_is_brute_force_and_shuffles_no_edges(spark, fixed_plans):
+    rng = np.random.default_rng(5)
+    # a dense cluster, and a line of points whose distances are the bound itself
+    rows = [(i, *map(float, rng.uniform(-0.3, 0.3, 2))) for i in range(400)] + [(1000 + i, 10.0 + i, -7.0) for i in range(5)] + [(2000, None, 0.0), (2001, 50.0, 50.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    near = {(a[0], b[0]): math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) for a in rows for b in rows if a[0] != b[0] and None not in a + b}
+    near = {k: d**-1.5 for k, d in near.items() if d <= 1}
+    total = {}
+    for (i, _), w in near.items():
+        total[i] = total.get(i, 0) + w
+    out = spatial.distance_band(df, 1.0)
+    got = {(r.i, r.j): r.w for r in out.collect()}
+    assert got.keys() == near.keys() and (1000, 1001) in got and len(got) > 150_000
+    assert all(got[k] == pytest.approx(w / total[k[0]]) for k, w in near.items())
+    assert _shuffled(spatial.distance_band(df, 1.0)) < len(got) / 2
+    plain = {(r.i, r.j): r.w for r in spatial.distance_band(df, 1.0, standardise=False).collect()}
+    assert plain.keys() == near.keys() and all(plain[k] == pytest.approx(w) for k, w in near.items())
+
+
 def test_exposure_of_reused_tracks(spark):
     rows = [("a", float(4 * i + day * 86400)) for day in (0, 1) for i in range(151)]
     df = spark.createDataFrame(rows, "track string, t double")
