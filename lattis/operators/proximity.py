@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Candidates that a task compares at a time.
+_AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -15,37 +22,140 @@ class ProximityConfig:
     horizontal: float = 304.8
     vertical: float = 200.0
     seconds: float = 5.0
-    #: reports a time bucket above which buckets are also cut in space
-    dense: int = 64
+    #: reports that a group of whole time buckets holds; single buckets with more are also cut in space
+    dense: int = 10_000
 
 
-def proximity_pairs(pos: DataFrame, config: ProximityConfig = ProximityConfig(), cells: str = "auto") -> DataFrame:
-    """Pairs (i < j) of reports of different tracks within all three bounds: i, j, distance_m, dt_s.
+def _grouped(pos: DataFrame, c: ProximityConfig, cells: str) -> DataFrame:
+    """Reports dealt into groups, sorted by group: a report is its own group's, and a guest where an earlier one may be near.
 
-    pos has pos_id, track, t (seconds), x, y, alt. Reports are dealt into buckets of the bounds' sizes; each meets the
-    neighbouring buckets by an equi-join. Buckets of time alone repeat a row 3 times, those of time and space 27 times;
-    "auto" cuts space as well where a time bucket holds many reports, so that no bucket grows with the fleet. A null
-    altitude pairs with nothing; two null tracks count as one track.
+    A group is a number of time buckets of the bound's size, so guests are the few reports of its last bucket's reach; in space
+    it is a tile of four bounds a side. Reports with a null or not finite number pair with nothing and are left out.
     """
-    h, s = max(config.horizontal, 1e-9), max(config.seconds, 1e-9)
+    s, h = max(c.seconds, 1e-9), max(c.horizontal, 1e-9)
+    finite = " and ".join(f"abs({k}) < double('inf')" for k in ("t", "x", "y", "alt"))
+    p = pos.select("pos_id", "track", *[F.col(k).cast("double").alias(k) for k in ("t", "x", "y", "alt")]).where(f"pos_id is not null and {finite}")
+    most = p.groupBy(F.floor(F.col("t") / s).alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     if cells == "auto":
-        n, lo, hi = pos.agg(F.count("*"), F.min("t"), F.max("t")).first()
-        cells = "space_time" if n and n / ((hi - lo) / s + 1) > config.dense else "time"
-    dims = [("bt", F.floor(F.col("t") / s))]
+        cells = "space_time" if most > c.dense else "time"
+    dims = [("gt", "t", s, 0.0, s * max(1, c.dense // most))]
     if cells == "space_time":
-        dims += [("bx", F.floor(F.col("x") / h)), ("by", F.floor(F.col("y") / h))]
-    left = pos.where("alt is not null").select("pos_id", "track", "t", "x", "y", "alt")
-    right = left.select(*[F.col(c).alias(f"r_{c}") for c in left.columns])
-    for name, b in dims:
-        left = left.withColumn(name, b)
-        r = {"bt": F.floor(F.col("r_t") / s), "bx": F.floor(F.col("r_x") / h), "by": F.floor(F.col("r_y") / h)}[name]
-        right = right.withColumn(f"r_{name}", F.explode(F.array(r - 1, r, r + 1)))
-    on = (F.col("pos_id") < F.col("r_pos_id")) & ~F.col("track").eqNullSafe(F.col("r_track"))
-    for name, _ in dims:
-        on &= F.col(name) == F.col(f"r_{name}")
-    dist = F.hypot(F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y"))
-    on &= (F.abs(F.col("t") - F.col("r_t")) <= config.seconds) & (F.abs(F.col("alt") - F.col("r_alt")) <= config.vertical) & (dist <= config.horizontal)
-    return left.join(right, on).select(F.col("pos_id").alias("i"), F.col("r_pos_id").alias("j"), dist.alias("distance_m"), F.abs(F.col("t") - F.col("r_t")).alias("dt_s"))
+        dims += [("gx", "x", h, h, 4 * h), ("gy", "y", h, h, 4 * h)]
+    own = F.lit(True)
+    for name, k, back, ahead, side in dims:
+        v, slack = F.col(k), (F.abs(F.col(k)) + back) * 1e-14
+        p = p.withColumn(name, F.explode(F.sequence(F.floor((v - back - slack) / side), F.floor((v + ahead + (slack if ahead else 0)) / side))))
+        own &= F.col(name) == F.floor(v / side)
+    at = [name for name, *_ in dims]
+    # the work is in the pairs, not in the rows by which small partitions are put together
+    n = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * p.sparkSession.sparkContext.defaultParallelism)
+    p = p.select(F.struct(*at).cast("string").alias("at"), own.alias("own"), "pos_id", "track", "t", "x", "y", "alt")
+    return p.repartition(n, "at").sortWithinPartitions("at")
+
+
+@dataclass
+class _Group:
+    """The reports of a group by time, then by rank, the order of their pos_id."""
+
+    ids: pa.Array
+    rank: np.ndarray
+    track: np.ndarray
+    own: np.ndarray
+    t: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    alt: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> _Group:
+        col = {k: rows[k].combine_chunks() for k in rows.column_names}
+        rank = np.unique(col["pos_id"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.lexsort((rank, col["t"].to_numpy()))
+        track = col["track"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+        rest = (rank, track, col["own"].to_numpy(zero_copy_only=False), *[col[k].to_numpy() for k in ("t", "x", "y", "alt")])
+        return cls(col["pos_id"].take(pa.array(order)), *[v[order] for v in rest])
+
+    def pairs(self, c: ProximityConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of the earlier and the later report, and their distance: all pairs whose earlier report is the group's own."""
+        n, h = len(self.t), max(c.horizontal, 1e-9) * (1 + 1e-9)
+        side = max(h, np.ptp(self.x) / 1e6, np.ptp(self.y) / 1e6)
+        cx, cy = (np.floor(v / side) for v in (self.x, self.y))
+        cx, cy = ((v - v.min()).astype(np.int64) + 1 for v in (cx, cy))
+        wide = int(cy.max()) + 2
+        code = cx * wide + cy
+        there, cell = np.unique(code, return_inverse=True)
+        key = cell * (n + 1) + np.arange(n)
+        by_cell = np.argsort(key)
+        key, x, y = key[by_cell], self.x[by_cell], self.y[by_cell]
+        mine = np.flatnonzero(self.own)
+        end = np.searchsorted(self.t, self.t[mine] + c.seconds + (np.abs(self.t[mine]) + c.seconds) * 1e-14, "right")
+        for step in (dx * wide + dy for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+            k = np.minimum(np.searchsorted(there, code[mine] + step), len(there) - 1)
+            some = there[k] == code[mine] + step
+            a, base = mine[some], k[some] * (n + 1)
+            lo = np.searchsorted(key, base + a + 1)
+            m = np.searchsorted(key, base + end[some]) - lo
+            total = np.cumsum(m)
+            at = 0
+            while at < len(a):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, "right")))
+                part = m[at:to]
+                i = np.repeat(a[at:to], part)
+                j = np.arange(len(i)) + np.repeat(lo[at:to] - (np.cumsum(part) - part), part)
+                dx, dy = self.x[i] - x[j], self.y[i] - y[j]
+                near = np.flatnonzero(dx * dx + dy * dy <= h * h)
+                i, j, d = i[near], by_cell[j[near]], np.hypot(dx[near], dy[near])
+                ok = (d <= c.horizontal) & (np.abs(self.alt[i] - self.alt[j]) <= c.vertical) & (self.t[j] - self.t[i] <= c.seconds) & (self.track[i] != self.track[j]) & (self.rank[i] != self.rank[j])
+                yield i[ok], j[ok], d[ok]
+                at = to
+
+
+def _run(pos: DataFrame, c: ProximityConfig, cells: str, what: Callable[[_Group], Iterator[list]], schema: StructType) -> DataFrame:
+    """Rows of schema that what makes of each group."""
+
+    def each(batches):
+        held, now = [], None
+        for b in batches:
+            at = b.column("at").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi and at[lo] != now:
+                    yield held
+                    held, now = [], at[lo]
+                held.append(b.slice(lo, hi - lo))
+        yield held
+
+    def run(batches):
+        for held in each(batches):
+            if held:
+                for columns in what(_Group.of(pa.Table.from_batches(held))):
+                    if len(columns[0]):
+                        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], schema.names)
+
+    return _grouped(pos, c, cells).mapInArrow(run, schema)
+
+
+def _pairs(pos: DataFrame, config: ProximityConfig, cells: str) -> DataFrame:
+    """proximity_pairs with the earlier time as t0."""
+
+    def what(g: _Group):
+        for a, b, d in g.pairs(config):
+            first = g.rank[a] < g.rank[b]
+            yield [g.ids.take(pa.array(np.where(first, a, b))), g.ids.take(pa.array(np.where(first, b, a))), d, g.t[b] - g.t[a], g.t[a]]
+
+    id_type = pos.schema["pos_id"].dataType
+    schema = StructType().add("i", id_type).add("j", id_type).add("distance_m", "double").add("dt_s", "double").add("t0", "double")
+    return _run(pos, config, cells, what, schema)
+
+
+def proximity_pairs(pos: DataFrame, config: ProximityConfig = ProximityConfig(), cells: str = "auto") -> DataFrame:
+    """Pairs (i < j) of reports of different tracks within all three bounds: i, j, distance_m, dt_s.
+
+    pos has pos_id, track, t (seconds), x, y, alt. Reports are dealt into groups of time buckets ("time"), or of time buckets and
+    tiles ("space_time"; "auto" where a time bucket holds many reports); a few are guests of a second group. A group finds its
+    pairs on a grid of the bound's size, in arrays. A null altitude pairs with nothing; two null tracks count as one track.
+    """
+    return _pairs(pos, config, cells).drop("t0")
 
 
 def proximity_counts(pos: DataFrame, config: ProximityConfig = ProximityConfig(), pairs: DataFrame | None = None) -> DataFrame:

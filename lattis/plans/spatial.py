@@ -9,7 +9,7 @@ from ..operators.cells import points_to_cells
 from ..runtime import stored
 from ..sources import carriers
 from ..sources.carriers import COLS, LINES, POSITIONS, RASTER, VECTORS, ZONES, table
-from .relational import _HEX_SMALL, _W, lattice
+from .relational import _HEX_SMALL, _W, lattice, rounded
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -161,9 +161,7 @@ def knn_weights(spark, sf):
 
 @query(f"WITH {_NEAR}, k AS (SELECT i, j, pow(d, -1.5) AS w FROM nea WHERE d <= 0.1) SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS w FROM k")
 def distance_band_weights(spark, sf):
-    # F.round goes through decimals, which takes most of the time over so many edges; weights aren't negative
-    w = F.expr("if(isnan(w), w, floor(w * 1e6D + 0.5D) / 1e6D)")
-    return spatial.distance_band(carriers.vectors(spark, sf), 0.1).select("i", "j", w.alias("w"))
+    return spatial.distance_band(carriers.vectors(spark, sf), 0.1).select("i", "j", rounded("w", 6))
 
 
 _QUEEN = f"{POSITIONS}, {_HEX_SMALL}, que AS (SELECT a.hex_id AS i, b.hex_id AS j FROM cells a JOIN cells b ON a.hex_id <> b.hex_id AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) < {(1.05 * _W) ** 2!r}), val AS (SELECT cells.hex_id AS id, CAST(count(pos_id) AS DOUBLE) AS x FROM cells LEFT JOIN near USING (hex_id) GROUP BY cells.hex_id)"

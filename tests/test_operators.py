@@ -65,14 +65,15 @@ def test_proximity_is_brute_force_and_ignores_buckets(spark):
     assert proximity.proximity_counts(df, c).agg(F.sum("event_count")).first()[0] == 2 * len(want)
 
 
-def _shuffled(df) -> int:
-    """Rows that the plan's exchanges write; the session must not plan adaptively."""
+def _moved(df) -> int:
+    """Rows that the plan's exchanges write or broadcast; the session must not plan adaptively."""
     q, rows = df._jdf.queryExecution(), 0
     q.toRdd().count()
     nodes = [q.executedPlan()]
     while nodes:
         n = nodes.pop()
-        rows += n.metrics().apply("shuffleRecordsWritten").value() if n.metrics().contains("shuffleRecordsWritten") else 0
+        for k in ("shuffleRecordsWritten", *["numOutputRows"] * n.nodeName().startswith("BroadcastExchange")):
+            rows += n.metrics().apply(k).value() if n.metrics().contains(k) else 0
         nodes += [n.children().apply(i) for i in range(n.children().size())]
     return rows
 
@@ -98,11 +99,45 @@ def test_distance_band_is_brute_force_and_shuffles_no_edges(spark, fixed_plans):
     got = {(r.i, r.j): r.w for r in out.collect()}
     assert got.keys() == near.keys() and (1000, 1001) in got and len(got) > 150_000
     assert all(got[k] == pytest.approx(w / total[k[0]]) for k, w in near.items())
-    assert _shuffled(spatial.distance_band(df, 1.0)) < len(got) / 2
+    assert _moved(spatial.distance_band(df, 1.0)) < len(got) / 2
     plain = {(r.i, r.j): r.w for r in spatial.distance_band(df, 1.0, standardise=False).collect()}
     assert plain.keys() == near.keys() and all(plain[k] == pytest.approx(w) for k, w in near.items())
 
 
+def _reports(spark):
+    """Reports in whole steps of the bounds (10 s, 100 m, 5 up), so that many pairs lie on a bound, with ties in time, missing and odd values."""
+    rng = np.random.default_rng(6)
+    rows = [(f"p{i:04}", None if i % 13 == 0 else f"k{i % 7}", float(5 * rng.integers(-40, 40)), float(50 * rng.integers(-6, 6)), float(50 * rng.integers(-6, 6)), float(2.5 * rng.integers(0, 9))) for i in range(1200)]
+    odd = [("q0", "z", None, 0.0, 0.0, 5.0), ("q1", "z", 0.0, float("nan"), 0.0, 5.0), ("q2", "z", 0.0, 0.0, float("inf"), 5.0), ("q3", "z", 0.0, 0.0, 0.0, None), (None, "z", 0.0, 0.0, 0.0, 5.0), ("p0005", "z", 0.0, 0.0, 0.0, 5.0)]
+    every = [r for r in rows + odd[-1:]]
+    want = {}
+    for a in every:
+        for b in every:
+            d = math.hypot(a[3] - b[3], a[4] - b[4])
+            if a[0] < b[0] and a[1] != b[1] and abs(a[2] - b[2]) <= 10 and d <= 100 and abs(a[5] - b[5]) <= 5:
+                want.setdefault((a[0], b[0]), []).append((d, abs(a[2] - b[2]), min(a[2], b[2])))
+    return spark.createDataFrame(rows + odd, "pos_id string, track string, t double, x double, y double, alt double").repartition(5), want
+
+
+@pytest.mark.parametrize("dense", [1, 20, 200, 10_000])
+def test_proximity_over_groups_and_tiles(spark, dense):
+    df, want = _reports(spark)
+    c = proximity.ProximityConfig(100, 5, 10, dense)
+    got = {}
+    for r in proximity.proximity_pairs(df, c).collect():
+        got.setdefault((r.i, r.j), []).append((round(r.distance_m, 6), r.dt_s))
+    assert got.keys() == want.keys() and len(want) > 1000
+    assert all(sorted(got[k]) == sorted((round(d, 6), dt) for d, dt, _ in want[k]) for k in want)
+    assert proximity.proximity_pairs(df.limit(0), c).count() == 0
+
+
+def test_proximity_moves_few_rows_of_a_dense_fleet(spark, fixed_plans):
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 300, float(rng.uniform(0, 100)), float(rng.uniform(0, 9000)), float(rng.uniform(0, 9000)), 5.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "pos_id long, track long, t double, x double, y double, alt double")
+    assert len(rows) <= _moved(proximity.proximity_pairs(df, proximity.ProximityConfig(300, 50, 10))) < 2 * len(rows)
+
+
 def test_exposure_of_reused_tracks(spark):
     rows = [("a", float(4 * i + day * 86400)) for day in (0, 1) for i in range(151)]
     df = spark.createDataFrame(rows, "track string, t double")
