@@ -159,10 +159,20 @@ def proximity_pairs(pos: DataFrame, config: ProximityConfig = ProximityConfig(),
 
 
 def proximity_counts(pos: DataFrame, config: ProximityConfig = ProximityConfig(), pairs: DataFrame | None = None) -> DataFrame:
-    """pos with event_count: the pairs that each report is in."""
-    pairs = proximity_pairs(pos, config) if pairs is None else pairs
-    n = pairs.select(F.explode(F.array("i", "j")).alias("c_id")).groupBy("c_id").agg(F.count("*").alias("event_count"))
-    return pos.join(n, F.col("pos_id") == F.col("c_id"), "left").drop("c_id").withColumn("event_count", F.coalesce("event_count", F.lit(0).cast("long")))
+    """pos with event_count: the pairs that each report is in. Without pairs the groups count theirs, and no pair leaves them."""
+    if pairs is None:
+
+        def what(g: _Group):
+            n = sum((np.bincount(np.concatenate((a, b)), minlength=len(g.t)) for a, b, _ in g.pairs(config)), np.zeros(len(g.t), np.int64))
+            some = np.flatnonzero(n)
+            yield [g.ids.take(pa.array(some)), n[some].astype(np.int64)]
+
+        each = _run(pos, config, "auto", what, StructType().add("c_id", pos.schema["pos_id"].dataType).add("n", "long"))
+        n = each.groupBy("c_id").agg(F.sum("n").alias("event_count"))
+    else:
+        n = pairs.select(F.explode(F.array("i", "j")).alias("c_id")).groupBy("c_id").agg(F.count("*").alias("event_count"))
+    # what is planned from the size of pos's files may be far off
+    return pos.join(n.hint("merge"), F.col("pos_id") == F.col("c_id"), "left").drop("c_id").withColumn("event_count", F.coalesce("event_count", F.lit(0).cast("long")))
 
 
 def windowed_pairs(pos: DataFrame, config: ProximityConfig, window_s: float) -> DataFrame:

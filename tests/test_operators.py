@@ -138,6 +138,27 @@ def test_proximity_moves_few_rows_of_a_dense_fleet(spark, fixed_plans):
     assert len(rows) <= _moved(proximity.proximity_pairs(df, proximity.ProximityConfig(300, 50, 10))) < 2 * len(rows)
 
 
+@pytest.mark.parametrize("dense", [1, 200, 10_000])
+def test_proximity_counts_without_pairs(spark, fixed_plans, dense):
+    df, want = _reports(spark)
+    c = proximity.ProximityConfig(100, 5, 10, dense)
+    n = {}
+    for ids, found in want.items():
+        for k in ids:
+            n[k] = n.get(k, 0) + len(found)
+    counted = proximity.proximity_counts(df, c)
+    got = [(r.pos_id, r.event_count) for r in counted.collect()]
+    assert len(got) == df.count() and all(v == n.get(k, 0) for k, v in got if k)
+    assert sorted(got, key=str) == sorted(((r.pos_id, r.event_count) for r in proximity.proximity_counts(df, c, proximity.proximity_pairs(df, c)).collect()), key=str)
+
+
+def test_proximity_counts_move_no_pairs(spark, fixed_plans):
+    df = spark.range(600).selectExpr("id pos_id", "id track", "id / 1000 t", "id / 10 x", "0D y", "5D alt")
+    counted = proximity.proximity_counts(df, proximity.ProximityConfig(300, 50, 10))
+    assert {r.event_count for r in counted.collect()} == {599}
+    assert 600 <= _moved(counted) <= 4 * 600
+
+
 def test_exposure_of_reused_tracks(spark):
     rows = [("a", float(4 * i + day * 86400)) for day in (0, 1) for i in range(151)]
     df = spark.createDataFrame(rows, "track string, t double")
