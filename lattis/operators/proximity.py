@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +16,9 @@ from pyspark.sql.types import StructType
 #: Candidates that a task compares at a time.
 _AT_ONCE = 1 << 18
 
+# tasks bring this module's code along, so these operators also run where the package isn't shipped to the executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class ProximityConfig:
@@ -177,11 +182,23 @@ def proximity_counts(pos: DataFrame, config: ProximityConfig = ProximityConfig()
 
 def windowed_pairs(pos: DataFrame, config: ProximityConfig, window_s: float) -> DataFrame:
     """Pairs with the tumbling window (from the earliest report) that owns them: the one with the earlier time."""
-    t0 = pos.agg(F.min("t")).first()[0] or 0.0
-    p = proximity_pairs(pos, config)
-    t = pos.select(F.col("pos_id").alias("k"), F.col("t").alias("tk"))
-    p = p.join(t.withColumnsRenamed({"k": "i", "tk": "ti"}), "i").join(t.withColumnsRenamed({"k": "j", "tk": "tj"}), "j")
-    return p.withColumn("window_id", F.floor((F.least("ti", "tj") - t0) / window_s)).drop("ti", "tj")
+    start = pos.agg(F.min("t")).first()[0] or 0.0
+    return _pairs(pos, config, "auto").withColumn("window_id", F.floor((F.col("t0") - start) / window_s)).drop("t0")
+
+
+def window_counts(pos: DataFrame, config: ProximityConfig, window_s: float) -> DataFrame:
+    """(window_id, pairs): the pairs of each window of windowed_pairs, counted within the groups."""
+    start = float(pos.agg(F.min("t")).first()[0] or 0.0)
+
+    def what(g: _Group):
+        w = np.floor((g.t - start) / window_s).astype(np.int64)
+        n = sum((np.bincount(a, minlength=len(w)) for a, _, _ in g.pairs(config)), np.zeros(len(w), np.int64))
+        ids, at = np.unique(w, return_inverse=True)
+        n = np.bincount(at, n, len(ids)).astype(np.int64)
+        yield [ids[n > 0], n[n > 0]]
+
+    each = _run(pos, config, "auto", what, StructType().add("window_id", "long").add("n", "long"))
+    return each.groupBy("window_id").agg(F.sum("n").alias("pairs"))
 
 
 def _gaps(df: DataFrame, track: str, t: str) -> DataFrame:

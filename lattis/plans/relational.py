@@ -82,7 +82,7 @@ def proximity_counts(spark, sf):
 
 @query(f"WITH {_PAIRS} SELECT CAST(floor((t0 - (SELECT min(t) FROM pos)) / 3600) AS BIGINT) AS window_id, count(*) AS pairs FROM prs GROUP BY ALL")
 def proximity_windowed(spark, sf):
-    return proximity.windowed_pairs(positions(spark, sf), CONFIG, 3600).groupBy("window_id").agg(F.count("*").alias("pairs"))
+    return proximity.window_counts(positions(spark, sf), CONFIG, 3600)
 
 
 @query(f"""WITH {_PAIRS} SELECT CAST(hour(ts) AS INT) AS hour, count(*) AS reports, CAST(sum(event_count) AS BIGINT) AS events, count(DISTINCT track) AS tracks,

@@ -159,6 +159,20 @@ def test_proximity_counts_move_no_pairs(spark, fixed_plans):
     assert 600 <= _moved(counted) <= 4 * 600
 
 
+@pytest.mark.parametrize("dense", [1, 200, 10_000])
+def test_proximity_windows(spark, fixed_plans, dense):
+    df, want = _reports(spark)
+    c = proximity.ProximityConfig(100, 5, 10, dense)
+    n = {}
+    for found in want.values():
+        for _, _, first in found:
+            n[(first + 200) // 30] = n.get((first + 200) // 30, 0) + 1
+    assert {r.window_id: r.pairs for r in proximity.window_counts(df, c, 30).collect()} == n
+    pairs = proximity.windowed_pairs(df, c, 30)
+    assert {r.window_id: r["count"] for r in pairs.groupBy("window_id").count().collect()} == n and set(pairs.columns) == {"i", "j", "distance_m", "dt_s", "window_id"}
+    assert _moved(pairs) < df.count() * (2 if dense > 1000 else 8) + len(want)
+
+
 def test_exposure_of_reused_tracks(spark):
     rows = [("a", float(4 * i + day * 86400)) for day in (0, 1) for i in range(151)]
     df = spark.createDataFrame(rows, "track string, t double")
