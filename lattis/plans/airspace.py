@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hexgrid import HexLattice, hex_radius_from_travel_time
 from ..operators import inference, proximity
 from ..operators.cells import points_to_cells
+from ..runtime import stored
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ def summarise_cells(counted: DataFrame, lattice: HexLattice, k: int = 3, scheme:
     c = points_to_cells(counted, lattice, {"event_count": "sum"})
     c = c.withColumn("event_count", F.coalesce(F.col("event_count").cast("long"), F.lit(0).cast("long")))
     c = c.withColumn("events_per_1k_reports", F.when(F.col("n_points") > 0, 1000 * F.col("event_count") / F.col("n_points")))
-    return inference.risk_levels(c, "event_count", k, scheme)
+    # the class bounds read the cells first; without a stored copy all pairs would be found again
+    return inference.risk_levels(stored(c), "event_count", k, scheme)
 
 
 def hourly_profile(counted: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import heapq
 import math
+import os
 
 import numpy as np
 import pytest
+from oracle import same
 from pyspark.sql import functions as F
 
 from lattis.functions import crs, special
@@ -12,7 +14,8 @@ from lattis.functions.hexgrid import HexLattice, hex_area_from_radius, hex_radiu
 from lattis.functions.temporal import filter_by_hour
 from lattis.operators import encoding, inference, learning, proximity, raster, regression, seasonal, spatial, terrain
 from lattis.operators.cells import assign_polygons, points_to_cells
-from lattis.sources import geo, tabular
+from lattis.plans import registry
+from lattis.sources import carriers, geo, tabular
 
 
 def test_special_functions():
@@ -173,6 +176,38 @@ def test_proximity_windows(spark, fixed_plans, dense):
     assert _moved(pairs) < df.count() * (2 if dense > 1000 else 8) + len(want)
 
 
+@pytest.fixture(scope="session")
+def fleet(spark, sf, tmp_path_factory):
+    """The test tables with 3,000 events in five time buckets of the queries."""
+    d = tmp_path_factory.mktemp("fleet")
+    for f in os.listdir(sf):
+        if f != "events.parquet":
+            os.symlink(f"{sf}/{f}", d / f)
+    ts = "timestamp_ntz'2024-01-01 05:30:00' + make_interval(0, 0, 0, 0, 0, 0, id)"
+    spark.range(3000).selectExpr("id event_id", f"{ts} ts", "id % 90 user_id", "'a' event_type", "id % 211 + 0.5D value", "'' props").coalesce(1).write.parquet(str(d / "some"))
+    os.rename(next((d / "some").glob("part-*")), d / "events.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["airspace_cells"])
+def test_queries_of_counts_move_few_rows_of_a_dense_fleet(spark, fixed_plans, fleet, name):
+    same(registry.QUERIES[name](spark, fleet), registry.ORACLES[name], fleet)
+    assert _moved(registry.QUERIES[name](spark, fleet)) < 6 * 3000
+
+
+def test_cells_find_pairs_once(spark, fleet, monkeypatch):
+    """However often the class bounds read the cells: the cells are stored before."""
+    from lattis.plans import airspace
+
+    found = []
+    monkeypatch.setattr(airspace.inference, "risk_levels", lambda c, *a: found.append(c) or c)
+    pos = carriers.positions(spark, fleet)
+    lattice = HexLattice.for_points(pos, radius=1500.0)
+    airspace.summarise_cells(proximity.proximity_counts(pos, proximity.ProximityConfig(3000, 50, 600)), lattice)
+    assert "MapInArrow" not in found[0]._jdf.queryExecution().executedPlan().toString() and "Join" not in found[0]._jdf.queryExecution().executedPlan().toString()
+    assert found[0].agg(F.sum("n_points")).first()[0] == 3000
+
+
 def test_exposure_of_reused_tracks(spark):
     rows = [("a", float(4 * i + day * 86400)) for day in (0, 1) for i in range(151)]
     df = spark.createDataFrame(rows, "track string, t double")
