@@ -189,7 +189,7 @@ def fleet(spark, sf, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["airspace_cells", "flag_unacceptable", "hourly_profile"])
+@pytest.mark.parametrize("name", ["airspace_cells", "flag_unacceptable", "hourly_profile", "summarise_cells"])
 def test_queries_of_counts_move_few_rows_of_a_dense_fleet(spark, fixed_plans, fleet, name):
     same(registry.QUERIES[name](spark, fleet), registry.ORACLES[name], fleet)
     assert _moved(registry.QUERIES[name](spark, fleet)) < 6 * 3000
