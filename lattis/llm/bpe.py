@@ -15,8 +15,8 @@ Decoding feeds the tokens' bytes to an incremental UTF-8 state machine, which ho
 chunks.
 
 Texts are split by the given pattern first. Cuts at single spaces between other characters never lie within a match, so
-the pieces between such cuts are encoded one by one and remembered in a table of bounded size. A slab of texts is cut and its
-different pieces are numbered in Arrow; each is looked up once, and the texts' ids are put together from the numbers.
+the pieces between such cuts are encoded one by one, and their words are remembered in a table of bounded size. A slab of texts is cut
+and its different pieces are numbered in Arrow; each is looked up once, and the texts' ids are put together from the numbers.
 
 Defined results: null text counts as empty and has no tokens; texts of any length are encoded whole; of pairs of one rank the leftmost
 merges first; repeated rows are encoded one by one; an empty table gives no rows; other columns, whatever their names, are ignored.
@@ -45,6 +45,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Entries of the tables; a tokenizer with less room has that share of them. They change the speed only.
 MOST_STATES, MOST_PAIRS, MOST_PIECES = 200_000, 250_000, 700_000
+#: Pieces of several matches that are split together.
+AT_ONCE = 20_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -190,8 +192,9 @@ class Transducer:
 
 
 class Tokenizer:
-    """Encodes whole texts. Holds the transducer and a table of the ids of pieces, by their text after the leading space. When it is full,
-    its entries become the old generation: those that are met again come back, the others go with the next."""
+    """Encodes whole texts. Holds the transducer and a table of the ids of matches that begin with a space, by their text after it, so a word
+    is encoded once whatever stands behind it. When the table is full, its entries become the old generation: those that are met again come
+    back, the others go with the next."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, room: float = 1.0):
         self.fst, self.split, self.most_pieces = Transducer(read_ranks(path), room), regex.compile(pattern), int(MOST_PIECES * room)
@@ -205,11 +208,11 @@ class Tokenizer:
 
     def match(self, m: str) -> tuple[int, ...]:
         """The ids of one match of the pattern."""
-        if m[0] == " " and (ids := self.pieces.get(m[1:])) is not None:
-            return ids
+        if self.letters and m[0] == " " and not m[1:2].isspace() and len(m) > 1:
+            return self.word(m[1:])
         if (ids := self.marks.get(m)) is None:
             ids = self.fst.encode(m.encode("utf-8", "surrogatepass"))
-            if len(m) <= 3 and m[0] != " " and len(self.marks) < 10_000:
+            if len(m) <= 3 and len(self.marks) < 10_000:
                 self.marks[m] = ids
         return ids
 
@@ -218,11 +221,11 @@ class Tokenizer:
         found = self.split.findall(text)
         return self.match(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(self.match, found)))
 
-    def missed(self, text: str) -> tuple[int, ...]:
-        """The ids of a piece that the table lacks, or lacked a moment ago."""
+    def word(self, text: str) -> tuple[int, ...]:
+        """The ids of a space and text, which are one match; of other patterns than PATTERN any number."""
         if (ids := self.pieces.get(text)) is None:
             if (ids := self.old.pop(text, None)) is None:
-                ids = self.fst.encode(b" " + text.encode()) if self.letters and text.isalpha() else self.whole(" " + text)
+                ids = self.fst.encode((" " + text).encode("utf-8", "surrogatepass")) if self.letters else self.whole(" " + text)
             if len(text) <= 64:
                 if len(self.pieces) >= self.most_pieces // 2:
                     self.old, self.pieces = self.pieces, {}
@@ -235,12 +238,22 @@ class Tokenizer:
         return first, rest
 
     def ids(self, rest: list[str]) -> list[tuple[int, ...]]:
-        """The ids of pieces as cut."""
-        out = list(map(self.pieces.get, rest))
-        at = -1
-        for _ in range(out.count(None)):
-            at = out.index(None, at + 1)
-            out[at] = self.missed(rest[at])
+        """The ids of pieces as cut. Those of several matches are split together, for between them only a match's first space is one."""
+        out, several = list(map(self.pieces.get, rest)), []
+        for at in [k for k, x in enumerate(out) if x is None]:
+            text = rest[at]
+            if text.isalpha() or not self.letters:
+                out[at] = self.word(text)
+            elif not text or " " in text or text[0].isspace() or text[-1].isspace():
+                out[at] = self.whole(" " + text)
+            else:
+                several.append(at)
+        for k in range(0, len(several), AT_ONCE):
+            part = several[k : k + AT_ONCE]
+            found = self.split.findall(" " + " ".join([rest[at] for at in part]))
+            ids, first = list(map(self.match, found)), [i for i, m in enumerate(found) if m[0] == " "]
+            for at, i, j in zip(part, first, [*first[1:], len(found)], strict=True):
+                out[at] = ids[i] if j == i + 1 else tuple(chain.from_iterable(ids[i:j]))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -249,7 +262,7 @@ class Tokenizer:
 
 
 #: Bytes of text of a slab, and of a text that is encoded by itself.
-SLAB_BYTES, ALONE_BYTES = 16 << 20, 64 << 20
+SLAB_BYTES, ALONE_BYTES = 8 << 20, 64 << 20
 _WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Texts in which a space has white space, or nothing, beside it.
 _ODD = rf"\A | \z| {_WHITE}|{_WHITE} "

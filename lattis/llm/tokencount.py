@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -57,30 +59,29 @@ class CountTree:
         self._text, self._sizes, self._counts, self.encoded = text, sizes, counts, 0
         first = np.arange(0, len(sizes), LEAF)
         chars, tokens = (np.add.reduceat(a, first) if len(a) else np.zeros(1, np.int64) for a in (sizes, counts))
-        self._starts = np.concatenate([[0], np.cumsum(chars)])
+        self._starts = list(accumulate(chars.tolist(), initial=0))
         self.n_leaves, self.width = len(chars), 1 << (len(chars) - 1).bit_length()
         self.touched: dict[int, list[tuple[str, int]]] = {}
         self.chars, self.tokens = ([0, *self._up(a)] for a in (chars, tokens))
 
     def _up(self, leaf: np.ndarray) -> list[int]:
         """Nodes 1 to 2 * width - 1."""
-        level, out = np.zeros(self.width, np.int64), []
-        level[: len(leaf)] = leaf
-        while len(level):
-            out = [*level.tolist(), *out]
-            level = level.reshape(-1, 2).sum(axis=1) if len(level) > 1 else level[:0]
-        return out
+        levels = [leaf.tolist() + [0] * (self.width - len(leaf))]
+        while len(below := levels[-1]) > 1:
+            levels.append(list(map(add, below[::2], below[1::2])))
+        return list(chain.from_iterable(levels[::-1]))
 
     def leaf(self, i: int) -> list[tuple[str, int]]:
-        if i not in self.touched:
+        if (own := self.touched.get(i)) is None:
             part = slice(i * LEAF, (i + 1) * LEAF)
-            cuts = self._starts[i] + np.concatenate([[0], np.cumsum(self._sizes[part])])
-            self.touched[i] = [(self._text[a:b], c) for a, b, c in zip(cuts.tolist(), cuts[1:].tolist(), self._counts[part].tolist(), strict=False)]
-        return self.touched[i]
+            cuts = list(accumulate(self._sizes[part].tolist(), initial=self._starts[i]))
+            own = self.touched[i] = [(self._text[a:b], c) for a, b, c in zip(cuts, cuts[1:], self._counts[part].tolist(), strict=False)]
+        return own
 
     def _sum(self, leaf: int) -> None:
-        self.chars[self.width + leaf] = sum(len(p) for p, _ in self.leaf(leaf))
-        self.tokens[self.width + leaf] = sum(c for _, c in self.leaf(leaf))
+        own = self.leaf(leaf)
+        self.chars[self.width + leaf] = sum([len(p) for p, _ in own])
+        self.tokens[self.width + leaf] = sum([c for _, c in own])
 
     def _add(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -218,7 +219,7 @@ def measured_all(texts: pa.Array, t: Tokenizer) -> Iterator[tuple[np.ndarray, np
         yield measured(texts[i].as_py() or "", t) if i in odd else (sizes[a:b], slab.counts[a:b])
 
 
-_BYTES = zstandard.ZstdCompressor(level=1)
+_BYTES, _BACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(sizes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -230,7 +231,7 @@ def pack(sizes: np.ndarray, counts: np.ndarray) -> bytes:
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     kind = {1: np.uint8, 4: np.uint32}[blob[0]]
-    return tuple(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), kind).reshape(2, -1).astype(np.int64))
+    return tuple(np.frombuffer(_BACK.decompress(blob[1:]), kind).reshape(2, -1).astype(np.int64))
 
 
 def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -255,6 +256,17 @@ def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text")
     return plain.mapInArrow(run, kinds).toDF(*docs.columns, *names)
 
 
+def listed(edits: pa.Array) -> Iterator[list[tuple]]:
+    """The (start, end, new) of each row; null lists and null edits are left out."""
+    if pa.types.is_null(edits.type):
+        yield from ([] for _ in edits)
+        return
+    parts = dict(zip((f.name for f in edits.type.value_type), edits.values.flatten(), strict=True))
+    rows = list(zip(*(parts[k].to_pylist() for k in ("start", "end", "new")), strict=True))
+    for a, b, some in zip(edits.offsets.to_pylist(), edits.offsets[1:].to_pylist(), edits.is_valid().to_pylist(), strict=False):
+        yield [e for e in rows[a:b] if e[0] is not None and e[1] is not None] if some else []
+
+
 _EDITED = "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long, edited_sha256 string, text string, tree binary"
 
 
@@ -268,13 +280,12 @@ def edited(docs: DataFrame, path: str | None = None, keep: bool = True, tree_col
         t = tokenizer(path)
         for b in batches:
             rows = []
-            for d, text, edits, *old in zip(*(b.column(c) for c in ("doc_id", "text", "edits", *kept)), strict=True):
+            for edits, d, text, *old in zip(listed(b.column("edits")), *(b.column(c) for c in ("doc_id", "text", *kept)), strict=True):
                 now = text.as_py() or ""
                 sizes, counts = unpack(old[0].as_py()) if old else measured(now, t)
                 tree, n = CountTree(now, sizes, counts), int(counts.sum())
-                for e in edits.as_py() or []:
-                    if e is not None and e["start"] is not None and e["end"] is not None:
-                        tree.edit(e["start"], e["end"], e["new"] or "", t)
+                for start, end, put in edits:
+                    tree.edit(start, end, put or "", t)
                 new = tree.text()
                 rows.append((d.as_py(), n, tree.tokens[1], len(sizes), tree.encoded, hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), new if keep else None, tree.pack() if keep else None))
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.binary()]

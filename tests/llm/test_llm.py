@@ -8,6 +8,7 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from oracle import same
@@ -291,6 +292,19 @@ def test_bpe_tables(spark, monkeypatch, pair):
     assert t.fst.built == 0 and t.fst.read > 300_000
 
 
+def test_bpe_words_are_encoded_once(pair):
+    """Whatever stands behind them: only the marks go through the transducer again."""
+    t, words = bpe.Tokenizer(public_tokenizers.path(bpe.RANKS)), ["tothouaten", "erachschge", "éoueux", "1234567", "世界"]
+    first = [w + "," for w in words]
+    assert t.ids(first) == [tuple(pair[1].encode_ordinary(" " + w)) for w in first]
+    read = t.fst.read
+    for tail in (".", "!!", "", "\nNew", "###", "'s,", "\x1c", "\u3000x"):
+        more = [w + tail for w in words] + ["", "'", ",", "a  b", "\n"]
+        assert t.ids(more) == [tuple(pair[1].encode_ordinary(" " + w)) for w in more]
+        t.marks.clear()
+    assert t.fst.read - read < sum(len(w.encode()) for w in words) * 3
+
+
 def test_token_counts(spark, odd, empty, pair):
     t, lib = pair
     rng = random.Random(4)
@@ -324,6 +338,18 @@ def test_token_counts(spark, odd, empty, pair):
     assert tokencount.edited(twice.withColumn("edits", F.expr(tokencount.EDITS)), tree_col="tree_").count() == odd.count()
 
 
+def test_token_counts_null_edits(spark, pair):
+    """Null lists, edits, places and replacements, in slices of a batch and as a column without a type."""
+    rows = [(1, "one two three", None), (2, "one two three", []), (3, "one two three", [None, (0, 3, "x"), (None, 1, "y"), (1, None, "y"), (2, 5, None)]), (4, None, [(0, 0, "new")]), (5, "é世🙂 end", [(1, 2, " "), (0, 1, None)])]
+    want = {1: "one two three", 2: "one two three", 3: "x  three", 4: "new", 5: " 🙂 end"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start int, end int, new string>>")
+    for r in tokencount.edited(df.coalesce(1)).collect():
+        assert r.text == want[r.doc_id] and r.n_tokens_edited == len(pair[1].encode_ordinary(r.text))
+    edits = pa.array([x[2] and [e and dict(zip(("start", "end", "new"), e, strict=True)) for e in x[2]] for x in rows])
+    assert list(tokencount.listed(edits.slice(2, 2))) == [[(0, 3, "x"), (2, 5, None)], [(0, 0, "new")]]
+    assert list(tokencount.listed(pa.nulls(2))) == [[], []]
+
+
 def test_token_counts_query(spark, sf, pair):
     """The query's counts on documents, against the library over the edited text."""
     rows = dict(texts(spark, sf))
