@@ -57,10 +57,15 @@ def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int, how: str
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(cold, key, how))
 
 
+#: How scratch files are written where the shared folder is a mounted one: without checksum files. Without Hadoop's native library every
+#: file and folder starts a process (chmod) from the JVM, five of them for a file with a checksum and two for one without.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark, at = df.sparkSession, scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.options(compression="zstd", **_PLAIN).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

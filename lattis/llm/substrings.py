@@ -35,13 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, ids_and_text, raw, released, steps, stored, table, windows, word_hashes, word_spans
+from .common import dropped, ids_and_text, raw, released, steps, stored, table, trimmed, windows, word_hashes, word_spans
 
 WINDOW = 13
 #: Bytes of text of one step, and about so many bytes of text of one bucket.
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Ways of one hop, edges that a further hop takes at a time, edges of a block of the range join, and of a path before it is cut.
 FAN, HOP_EDGES, BLOCK, CHUNK = 512, 1 << 20, 256, 1 << 20
+#: Links that one task of a round of pointer doubling writes.
+LINKS = 1 << 18
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -83,33 +85,53 @@ def _dealt(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, leads: np.ndarray, b
             yield _row(g, g * width, h[x:y].tobytes(), _pack(doc[x:y], pos[x:y], leads[x:y]), None)
 
 
+def _settled(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, window: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]] | None:
+    """The edges of one step: hash, document, word and whether local claims are on them; and the local claims. Arrays go as soon as they
+    aren't needed, since two of these steps share an executor."""
+    starts, ends, bounds = word_spans(data, offs)
+    if len(starts) < window:
+        return None
+    h = windows(word_hashes(data, starts, ends), window)
+    del starts, ends
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
+    inside = np.flatnonzero(row[window - 1 :] == row[: len(h)]).astype(np.int32)
+    if not len(inside):
+        return None
+    h, row = h[inside], row[inside]
+    pos = (inside - bounds[row]).astype(np.int32)
+    del inside
+    doc = ids[row]
+    del row
+    order = np.lexsort((pos, doc, h)).astype(np.int32)
+    h, doc, pos = h[order], doc[order], pos[order]
+    del order
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    lead = np.flatnonzero(new).astype(np.int32)[np.cumsum(new, dtype=np.int32) - 1]
+    late = doc > doc[lead]  # repeats an earlier document of this step
+    led = lead[late]
+    del new, lead
+    local = doc[late], pos[late], doc[led], pos[led]
+    leads = np.zeros(len(h), np.int8)
+    leads[led] = 1
+    return tuple(x[~late] for x in (h, doc, pos, leads)), local
+
+
 def _edges(buckets: int, width: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = raw(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for i, j in steps(offs, BATCH_BYTES):
-                starts, ends, bounds = word_spans(data, offs[i : j + 1])
-                if len(starts) < window:
-                    continue
-                row = np.repeat(np.arange(j - i), np.diff(bounds))
-                pos = np.arange(len(starts)) - bounds[row]
-                h = windows(word_hashes(data, starts, ends), window)
-                inside = np.flatnonzero(row[window - 1 :] == row[: len(h)])
-                if not len(inside):
+                if (found := _settled(data, offs[i : j + 1], ids[i:j], window)) is None:
                     continue
-                h, doc, pos = h[inside], ids[i:j][row[inside]], pos[inside].astype(np.int32)
-                order = np.lexsort((pos, doc, h))
-                h, doc, pos = h[order], doc[order], pos[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]])
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                late = doc > doc[lead]  # repeats an earlier document of this step
-                if late.any():
-                    bucket = int(h[0] % np.uint64(buckets))
-                    yield _row(bucket // width, bucket, None, None, _pack(doc[late], pos[late], doc[lead[late]], pos[lead[late]]))
-                leads = np.zeros(len(h), np.int8)
-                leads[lead[late]] = 1
-                yield from _dealt(h[~late], doc[~late], pos[~late], leads[~late], buckets, width)
+                edges, local = found
+                if len(local[0]):
+                    bucket = int(edges[0][0] % np.uint64(buckets))
+                    yield _row(bucket // width, bucket, None, None, _pack(*local))
+                dealt = _dealt(*edges, buckets, width)
+                del found, edges, local
+                yield from dealt
+            trimmed()
 
     return run
 
@@ -254,10 +276,11 @@ def heads(links: DataFrame) -> DataFrame:
     """links (src, q, up_src, up_q, dist): segments and the one before each -> the first segment of the path and the edges up to here,
     by pointer doubling. Segments in a circle are left out."""
     p = stored(links.selectExpr("*", "true as open"))
-    for _ in range(max(1, p.count()).bit_length() + 1):
+    n = max(1, p.count())
+    for _ in range(n.bit_length() + 1):
         up = p.selectExpr("src as up_src", "q as up_q", "up_src as far_src", "up_q as far_q", "dist as more")
         new = p.where("open").join(up, ["up_src", "up_q"], "left").selectExpr("src", "q", "coalesce(far_src, up_src) as up_src", "coalesce(far_q, up_q) as up_q", "dist + coalesce(more, 0) as dist", "far_src is not null as open")
-        new = stored(new.unionByName(p.where("not open")))
+        new = stored(new.unionByName(p.where("not open")).coalesce(-(-n // LINKS)))
         dropped(p)
         p = new
         if not p.where("open").take(1):

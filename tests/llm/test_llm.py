@@ -5,6 +5,8 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
@@ -92,6 +94,30 @@ def test_substrings_graph(spark, monkeypatch, window):
         assert compact.groupBy("path").count().where("count > 2").count() > 0  # paths through several sources
 
 
+def test_substrings_few_files(spark):
+    """Few links are few files, however many tasks found them; and no file brings a checksum, whose writing starts processes."""
+    links = [(1, q, 1, q - 1, 1) for q in range(1, 40)]
+    first = substrings.heads(spark.createDataFrame(links, "src long, q int, up_src long, up_q int, dist long").repartition(30))
+    assert sorted((r.q, r.up_q, r.dist) for r in first.collect()) == [(q, 0, q) for q in range(1, 40)]
+    files = first.inputFiles()
+    assert len(files) <= 1
+    folder = Path(files[0].removeprefix("file://")).parent
+    assert not list(folder.glob(".*.crc"))
+
+
+def test_substrings_step_memory():
+    """A step's arrays go as soon as they aren't needed."""
+    r = random.Random(1)
+    rows = [" ".join(f"w{r.randrange(5000):05}" for _ in range(300)) for _ in range(3900)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(rows)), pa.int64()), "text": rows})
+    tracemalloc.start()
+    n = sum(len(b["hashes"][0].as_py() or b"") // 8 for b in substrings._edges(8, 1, 13)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3900 * 288
+    assert peak < 140e6
+
+
 def test_substrings_circle(spark):
     """Segments without a beginning fall apart; chains end at their first segment."""
     links = [(i, 0, i - 1, 0, 2) for i in range(1, 9)] + [(20, 0, 22, 0, 1), (21, 0, 20, 0, 1), (22, 0, 21, 0, 1)]
