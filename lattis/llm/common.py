@@ -58,7 +58,7 @@ def looked_up(rows: DataFrame, values: DataFrame, key: str, total: int, how: str
 
 
 #: How scratch files are written where the shared folder is a mounted one: without checksum files. Without Hadoop's native library every
-#: file and folder starts a process (chmod) from the JVM, five of them for a file with a checksum and two for one without.
+#: file and folder starts a process (chmod) from the JVM: 66 for 20 files with checksums, 45 for 20 without.
 _PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 

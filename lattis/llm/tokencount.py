@@ -212,7 +212,9 @@ def measured(text: str, t: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
 def measured_all(texts: pa.Array, t: Tokenizer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """measured() of each text of a slab."""
     slab = Slab(t, texts)
-    sizes = pc.utf8_length(slab.pieces).to_numpy().astype(np.int64) + 1
+    sizes = pc.utf8_length(slab.pieces).to_numpy().copy()
+    del slab.pieces
+    sizes += 1
     sizes[slab.bounds[:-1]] -= 1
     odd = {*slab.odd, *(np.searchsorted(slab.bounds, np.flatnonzero((sizes > 2 * PIECE) | (sizes == 0)), "right") - 1).tolist()}
     for i, (a, b) in enumerate(zip(slab.bounds[:-1].tolist(), slab.bounds[1:].tolist(), strict=True)):
@@ -234,26 +236,30 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.frombuffer(_BACK.decompress(blob[1:]), kind).reshape(2, -1).astype(np.int64))
 
 
-def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with two more columns, the last ones: n_tokens, and tree, the packed leaves."""
-    path = path or public_tokenizers.path(RANKS)
-    names, plain = [fresh_name(docs, "n_tokens"), fresh_name(docs, "tree")], numbered(docs)
-    at = docs.columns.index(text_col)
+def _trees(path: str, at: int):
+    """A batch for each slab of column ``at``, since the JVM holds a batch whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            total, trees = [], []
-            for _, texts in slabs(b.column(at)):
+            for i, texts in slabs(b.column(at)):
+                total, trees = [], []
                 for sizes, counts in measured_all(texts, t):
                     total.append(int(counts.sum()))
                     trees.append(pack(sizes, counts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
+                rows = b.slice(i, len(texts))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(total, pa.int64()), pa.array(trees, pa.binary())], [*b.schema.names, "n_tokens", "tree"])
             trimmed()
         idle()
 
+    return run
+
+
+def with_trees(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with two more columns, the last ones: n_tokens, and tree, the packed leaves."""
+    names, plain = [fresh_name(docs, "n_tokens"), fresh_name(docs, "tree")], numbered(docs)
     kinds = StructType([*plain.schema.fields, StructField("n_tokens", LongType()), StructField("tree", BinaryType())])
-    return plain.mapInArrow(run, kinds).toDF(*docs.columns, *names)
+    return plain.mapInArrow(_trees(path or public_tokenizers.path(RANKS), docs.columns.index(text_col)), kinds).toDF(*docs.columns, *names)
 
 
 def listed(edits: pa.Array) -> Iterator[list[tuple]]:

@@ -331,6 +331,21 @@ def test_bpe_words_are_encoded_once(pair):
     assert t.fst.read - read < sum(len(w.encode()) for w in words) * 3
 
 
+def test_trees_by_slab():
+    """A batch of several slabs comes back slab by slab, each row with its own tree."""
+    rows = ["one two " * 500_000 + "x" * k for k in range(3)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"c0": pa.array(range(5), pa.int64()), "c1": pa.array(rows)})
+    path = public_tokenizers.path(bpe.RANKS)
+    got = list(tokencount._trees(path, 1)(iter([batch])))
+    assert [r for b in got for r in b["c0"].to_pylist()] == list(range(5))
+    assert max(sum(len(x or "") for x in b["c1"].to_pylist()) for b in got) <= bpe.SLAB_BYTES
+    t = bpe.tokenizer(path)
+    for b in got:
+        for text, n, tree in zip(*(b[c].to_pylist() for c in ("c1", "n_tokens", "tree")), strict=True):
+            sizes, counts = tokencount.unpack(tree)
+            assert (sizes.sum(), counts.sum()) == (len(text or ""), n) and n == len(t.encode(text or ""))
+
+
 def test_token_counts(spark, odd, empty, pair):
     t, lib = pair
     rng = random.Random(4)
